@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .simhash import op7_simhash
 from .substring_dedup import op9_substring_dedup
 
 QUERIES = {
+    "op7_simhash": op7_simhash,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
