@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op8_bpe
 from .simhash import op7_simhash
 from .substring_dedup import op9_substring_dedup
 
 QUERIES = {
     "op7_simhash": op7_simhash,
+    "op8_bpe": op8_bpe,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
