@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .quality_classifier import op6_quality_classifier
+from .quality_rules import op5_quality_rules
 from .simhash import op7_simhash
 from .substring_dedup import op9_substring_dedup
 
 QUERIES = {
+    "op5_quality_rules": op5_quality_rules,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
     "op9_substring_dedup": op9_substring_dedup,

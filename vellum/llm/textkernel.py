@@ -89,12 +89,12 @@ def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
-def slices(arr: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, pa.Array]]:
-    """Parts of a column() of at most about `most` bytes, one document at least; with its first row."""
+def slices(arr: pa.Array, most: int = 1 << 22, rows: int = 1 << 16) -> Iterator[tuple[int, pa.Array]]:
+    """Parts of a column() of at most about `most` bytes and `rows` rows, one document at least; with the first row."""
     _, offs = raw(arr)
     at, n = 0, len(arr)
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
+        to = min(at + rows, max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1))
         yield at, arr.slice(at, to - at)
         at = to
 
