@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .chat_format import op1_chat_format
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import op5_quality_rules
+from .sharding import op10_sharding
 from .simhash import op7_simhash
 from .substring_dedup import op9_substring_dedup
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_sharding": op10_sharding,
 }
 
 #: None of the contracts is plain DuckDB SQL at full scale without SHA/XXH/BPE helpers, unless listed.
