@@ -9,9 +9,11 @@ from .quality_rules import op5_quality_rules
 from .sharding import op10_sharding
 from .simhash import op7_simhash
 from .substring_dedup import op9_substring_dedup
+from .topk_search import op3_topk_search
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op3_topk_search": op3_topk_search,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_simhash": op7_simhash,
