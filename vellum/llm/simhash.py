@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,10 +138,12 @@ def _local_links(group: np.ndarray, guests: np.ndarray, distance: int) -> tuple[
     return words[moved], words[root[moved]]
 
 
-def near_links(fps: DataFrame, distance: int = 2, group_size: int = 4096, most_groups: int = 1 << 14) -> DataFrame:
-    """Edges (a, b) that join all fingerprints (column fp, distinct) linked at `distance` or fewer bits."""
+def near_links(fps: DataFrame, distance: int = 2, group_size: int = 4096, least_groups: int = 64, most_groups: int = 1 << 14) -> DataFrame:
+    """Edges (a, b) that join all fingerprints (column fp, distinct) linked at `distance` or fewer bits.
+
+    Ranges number least_groups at least, so that small inputs keep all executors busy too."""
     n = fps.count()
-    groups = max(1, min(most_groups, -(-n // group_size)))
+    groups = max(least_groups, min(most_groups, -(-n // group_size)))
     sample = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(32 * groups).toPandas().fp.to_numpy()
     ranks = np.sort(gray_rank(sample.astype(np.int64).view(np.uint64)))
     pivots = np.unique(ranks[np.arange(1, groups) * len(ranks) // groups]) if len(ranks) else ranks
@@ -156,21 +159,26 @@ def near_links(fps: DataFrame, distance: int = 2, group_size: int = 4096, most_g
     upper = Tree(nodes.low.to_numpy(np.int64).view(np.uint64), nodes.high.to_numpy(np.int64).view(np.uint64)) if len(nodes) else None
 
     def route(batches):
+        """Each batch's own and guest fingerprints, packed by the range that they visit."""
         for batch in batches:
             fp, own = batch.column("fp").to_numpy(), batch.column("g").to_numpy()
-            for word, node in upper.search(fp.view(np.uint64), distance):
-                to = number[node]
-                guest = to > own[word]
-                home = to == own[word]
-                take = guest | home
-                yield pa.RecordBatch.from_arrays([pa.array(to[take].astype(np.int32)), pa.array(fp[word[take]]), pa.array(guest[take])], names=["g", "fp", "guest"])
+            visits = [(number[node], word) for word, node in upper.search(fp.view(np.uint64), distance)]
+            to, word = (np.concatenate(x) for x in zip(*visits, strict=True)) if visits else (own[:0], own[:0])
+            take = to >= own[word]
+            to, word = to[take], word[take]
+            key = 2 * to.astype(np.int64) + (to > own[word])
+            order = np.argsort(key, kind="stable")
+            key, word = key[order], word[order]
+            cut = np.flatnonzero(np.diff(key, prepend=-1))
+            packed = [fp[x].tobytes() for x in np.split(word, cut[1:])] if len(cut) else []
+            yield pa.RecordBatch.from_arrays([pa.array((key[cut] >> 1).astype(np.int32)), pa.array(packed, pa.binary()), pa.array((key[cut] & 1) == 1)], names=["g", "fps", "guest"])
 
     def link(table: pa.Table) -> pa.Table:
-        fp, guest = table.column("fp").to_numpy().view(np.uint64), table.column("guest").to_numpy()
-        a, b = _local_links(fp[~guest], fp[guest], distance)
+        both = [b"".join(table.filter(pc.equal(table.column("guest"), x)).column("fps").to_pylist()) for x in (False, True)]
+        a, b = _local_links(*(np.frombuffer(x, np.uint64) for x in both), distance)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return dealt.mapInArrow(route, "g int, fp long, guest boolean").groupBy("g").applyInArrow(link, "a long, b long")
+    return dealt.mapInArrow(route, "g int, fps binary, guest boolean").groupBy("g").applyInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, distance: int = 2, seed: int = 42) -> DataFrame:
