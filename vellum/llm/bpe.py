@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import row_block, text_bytes
+from .common import BLOCK, packed_blocks, text_bytes, unpacked
 
-BLOCK, BUCKET = "__vellum_block", "__vellum_bucket"
+BUCKET = "__vellum_bucket"
 #: Fixed value: the split pattern for which the runs of character classes below stand.
 RUNS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 OTHER, LETTER, NUMBER, WHITE = range(4)
@@ -51,13 +51,13 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
 @lru_cache(1)
 def classes() -> np.ndarray:
     """The class of each code point, as the tokeniser's own pattern engine tells it."""
-    points = [*range(0xD800), *range(0xE000, 0x110000)]
-    every = "".join(map(chr, points))
     table = np.full(0x110000, OTHER, np.uint8)
     for kind, one in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (WHITE, r"\s")):
         enc = tiktoken.Encoding("class", pat_str=one, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-        found = bytes(enc.encode_ordinary(every)).decode()
-        table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
+        for start in range(0, 0x110000, 0x1000):
+            some = "".join(chr(x) for x in range(start, start + 0x1000) if not 0xD800 <= x < 0xE000)
+            found = bytes(enc.encode_ordinary(some)).decode()
+            table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
     return table
 
 
@@ -176,13 +176,12 @@ def _unpack(x: pa.Scalar, kind) -> np.ndarray:
 def encode(docs: DataFrame, path: str, pattern: str = RUNS, text: str = "text", block_bytes: int = 4 << 20, bucket_words: int = 1 << 18, carry_text: bool = False) -> DataFrame:
     """Rows of `docs`, without the text, with n_tokens and ids (32-bit little-endian unsigned integers, packed)."""
     _, size = text_bytes(docs, text)
-    blocks = max(1, -(-size // block_bytes))
     bits = max(0, int(np.ceil(np.log2(max(1, size / 50 / bucket_words)))))
     docs = docs.drop("n_tokens", "ids")
-    dealt = docs.withColumn(BLOCK, row_block(blocks, *[F.col(c) for c, t in docs.dtypes if t in ("bigint", "int", "string")] or [F.lit(0)]))
+    dealt = packed_blocks(docs, size, block_bytes)
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        sent = [(i, _pack(s.astype(np.uint32)), _pack(b)) for i, s, b in _Block(K.column(table.column(text)), pattern).lists(bits)]
+        sent = [(i, _pack(s.astype(np.uint32)), _pack(b)) for i, s, b in _Block(K.column(unpacked(table).column(text)), pattern).lists(bits)]
         return pa.table({BUCKET: pa.array([x[0] for x in sent], pa.int32()), BLOCK: pa.array([key[0].as_py()] * len(sent), pa.int32()), "sizes": pa.array([x[1] for x in sent], pa.binary()), "words": pa.array([x[2] for x in sent], pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
@@ -203,6 +202,7 @@ def encode(docs: DataFrame, path: str, pattern: str = RUNS, text: str = "text",
     keep = [f for f in docs.schema.fields if carry_text or f.name != text]
 
     def put(table: pa.Table, told: pa.Table) -> pa.Table:
+        table = unpacked(table)
         block = _Block(K.column(table.column(text)), pattern)
         order = np.argsort(told.column(BUCKET).to_numpy(), kind="stable").tolist()
         size = np.concatenate([np.zeros(0, np.uint32), *(_unpack(told.column("sizes")[i], np.uint32) for i in order)]).astype(np.int64)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +45,35 @@ def text_bytes(df: DataFrame, col: str = "text") -> tuple[int, int]:
 def crc_bucket(col: str, n: int) -> Column:
     """crc32 of the value as text, modulo n; null ids count as the text ''."""
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+BLOCK = "__vellum_block"
+
+
+def packed_blocks(docs: DataFrame, size: int, block_bytes: int) -> DataFrame:
+    """(BLOCK, rows): the rows of `docs` dealt into blocks of about block_bytes of its `size` bytes by a hash of
+    their values. Rows of one batch and block travel as one compressed Arrow message, see unpacked()."""
+    keys = [F.col(c) for c, t in docs.dtypes if t in ("bigint", "int", "string")] or [F.lit(0)]
+    dealt = docs.withColumn(BLOCK, row_block(max(1, -(-size // block_bytes)), *keys))
+
+    def pack(batches):
+        for batch in (b for b in batches if b.num_rows):
+            block = batch.column(BLOCK).to_numpy()
+            order = np.argsort(block, kind="stable")
+            cut = np.flatnonzero(np.diff(block[order], prepend=-1))
+            rows = batch.select(batch.schema.names[:-1])
+            sent = []
+            for own in np.split(order, cut[1:]):
+                with pa.BufferOutputStream() as sink:
+                    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                        out.write_batch(rows.take(pa.array(own)))
+                    sent.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(block[order][cut]), pa.array(sent, pa.binary())], names=[BLOCK, "rows"])
+
+    return dealt.mapInArrow(pack, f"{BLOCK} int, rows binary")
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """The rows in the messages of a group of packed_blocks(), in one order whatever order they came in."""
+    sent = sorted(x.as_buffer().to_pybytes() for x in table.column("rows"))
+    return pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in sent).combine_chunks()

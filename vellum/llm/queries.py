@@ -10,9 +10,11 @@ from .sharding import op10_sharding
 from .simhash import op7_simhash
 from .substring_dedup import op9_substring_dedup
 from .topk_search import op3_topk_search
+from .warc import op2_warc
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_warc": op2_warc,
     "op3_topk_search": op3_topk_search,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,

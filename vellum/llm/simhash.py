@@ -160,7 +160,7 @@ def near_links(fps: DataFrame, distance: int = 2, group_size: int = 4096, least_
 
     def route(batches):
         """Each batch's own and guest fingerprints, packed by the range that they visit."""
-        for batch in batches:
+        for batch in (b for b in batches if b.num_rows):
             fp, own = batch.column("fp").to_numpy(), batch.column("g").to_numpy()
             visits = [(number[node], word) for word, node in upper.search(fp.view(np.uint64), distance)]
             to, word = (np.concatenate(x) for x in zip(*visits, strict=True)) if visits else (own[:0], own[:0])

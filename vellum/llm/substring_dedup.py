@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import row_block, text_bytes
+from .common import BLOCK, packed_blocks, text_bytes, unpacked
 
-BLOCK, BUCKET = "__vellum_block", "__vellum_bucket"
+BUCKET = "__vellum_bucket"
 
 
 def _windows(texts: pa.Array, window: int) -> tuple[list[tuple[int, K.Words, np.ndarray]], np.ndarray]:
@@ -80,14 +80,13 @@ def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, joine
 
     kept_text keeps the space between words as it was; joined=True joins the kept words by one space.
     """
-    rows, size = text_bytes(docs, text)
-    blocks = max(1, -(-size // block_bytes))
+    _, size = text_bytes(docs, text)
     bits = max(0, int(np.ceil(np.log2(max(1, size / 6 / bucket_windows)))))
     docs = docs.drop("n_words", "n_removed", "removed", "kept_text")
-    dealt = docs.withColumn(BLOCK, row_block(blocks, *[F.col(c) for c, t in docs.dtypes if t.split("<")[0] in ("bigint", "int", "string")] or [F.lit(0)]))
+    dealt = packed_blocks(docs, size, block_bytes)
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        _, h = _windows(K.column(table.column(text)), window)
+        _, h = _windows(K.column(unpacked(table).column(text)), window)
         u = np.unique(h)
         cuts = np.searchsorted(u, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
         sent = [(i, x.tobytes()) for i, x in enumerate(np.split(u, cuts)) if len(x)]
@@ -104,9 +103,10 @@ def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, joine
         flags = np.split(seen, np.cumsum([len(x) for x in sent])[:-1])
         return pa.table({BLOCK: table.column(BLOCK), BUCKET: table.column(BUCKET), "n": pa.array([len(x) for x in sent], pa.int32()), "bits": pa.array([np.packbits(x).tobytes() for x in flags], pa.binary())})
 
-    schema = T.StructType([*dealt.schema.fields[:-1], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("kept_text", T.StringType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("kept_text", T.StringType())])
 
     def cut(table: pa.Table, told: pa.Table) -> pa.Table:
+        table = unpacked(table)
         parts, h = _windows(K.column(table.column(text)), window)
         u, back, count = np.unique(h, return_inverse=True, return_counts=True)
         seen = [np.unpackbits(np.frombuffer(b.as_buffer(), np.uint8), count=n.as_py()) for _, n, b in sorted(zip(told.column(BUCKET).to_pylist(), told.column("n"), told.column("bits"), strict=True), key=lambda x: x[0])]
@@ -124,7 +124,7 @@ def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, joine
             spans.append(pa.ListArray.from_arrays(pa.array(cuts), both))
             texts.append(words.joined(~gone)[:2] if joined else _cut(words, begin, end, doc))
         flat = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
-        out = table.drop_columns([BLOCK])
+        out = table
         for name, col in (("n_words", flat(n_words)), ("n_removed", flat(n_removed)), ("removed", pa.chunked_array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))), ("kept_text", _strings(texts))):
             out = out.append_column(name, col)
         return out

@@ -89,7 +89,7 @@ def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
-def slices(arr: pa.Array, most: int = 1 << 22, rows: int = 1 << 16) -> Iterator[tuple[int, pa.Array]]:
+def slices(arr: pa.Array, most: int = 1 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, pa.Array]]:
     """Parts of a column() of at most about `most` bytes and `rows` rows, one document at least; with the first row."""
     _, offs = raw(arr)
     at, n = 0, len(arr)
