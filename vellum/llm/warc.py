@@ -21,6 +21,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from bisect import bisect_right
 from urllib.parse import urlsplit
@@ -101,13 +102,13 @@ def _order(row) -> tuple:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A run of index entries for each archive, sorted; written in the shared folder."""
-    whole = spark.read.option("wholetext", True).text(path).withColumn("archive", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    whole = spark.read.format("binaryFile").load(path).select("content", F.element_at(F.split("path", "/"), -1).alias("archive"))
 
     def run(batches):
         for batch in batches:
-            for text, archive in zip(batch.column("value"), batch.column("archive"), strict=True):
+            for content, archive in zip(batch.column("content"), batch.column("archive"), strict=True):
                 rows = []
-                for at, h, block in parse(text.as_buffer().to_pybytes()):
+                for at, h, block in parse(gzip.decompress(content.as_buffer())):
                     entry = {"urlkey": url_key(h["WARC-Target-URI"]), "ts": h["WARC-Date"], "page_id": _id(h["WARC-Record-ID"]), "archive": archive.as_py(), "place": at, "record_type": h["WARC-Type"], "refers_to": None}
                     if h["WARC-Type"] == "revisit":
                         entry |= {"payload_bytes": int(h["X-Payload-Length"]), "payload_digest": h["WARC-Payload-Digest"].removeprefix("sha256:"), "refers_to": _id(h["WARC-Refers-To"])}
