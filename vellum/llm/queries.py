@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op8_bpe
 from .chat_format import op1_chat_format
+from .mixing import op4_mixing
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import op5_quality_rules
 from .sharding import op10_sharding
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_warc": op2_warc,
     "op3_topk_search": op3_topk_search,
+    "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_simhash": op7_simhash,
