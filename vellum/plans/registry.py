@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import text_plans
+
+_PLANS = (text_plans,)
+QUERIES: dict = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}
