@@ -246,7 +246,7 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded",
             at = 0
             while at < len(packed):
                 to, n = at, 0
-                while to < len(packed) and (to == at or n + len(packed[to]) < 4 << 20):
+                while to < len(packed) and (to == at or n + len(packed[to]) < 1 << 20):
                     n, to = n + len(packed[to]), to + 1
                 own = np.frombuffer(b"".join(packed[at:to]), "<u4")
                 text = data[_spread(start[own], size[own])].tobytes()
