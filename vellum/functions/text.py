@@ -115,15 +115,6 @@ def erase_only(c: Column, width: Column, height: Column, pale: Column, dark: Col
     return ~sound_fragment(c) & (count(c, HAN) + count(c, HANGUL) == 0) & (count(c, KANA) >= 2) & (F.length(fragment(c)) <= 4) & (width <= F.greatest(F.lit(42), (height * 0.74).cast("int"))) & ((pale >= 0.34) | (dark >= 0.16))
 
 
-def short_spoken(c: Column, width: Column, height: Column, img_w: Column, img_h: Column, pale: Column, dark: Column) -> Column:
-    """Short fragments that are spoken and readable."""
-    s = fragment(c)
-    han, hangul, kana = count(c, HAN), count(c, HANGUL), count(c, KANA)
-    tiny = (width < F.greatest(F.lit(28), (img_w * 0.025).cast("int"))) & (height < F.greatest(F.lit(72), (img_h * 0.070).cast("int"))) & (F.length(s) <= 5)
-    said = (han >= 1) | (hangul >= 2) | (any_of(s, DIALOGUE_STEMS) & ((pale >= 0.32) | (dark >= 0.18)))
-    return ~sound_fragment(c) & (han + hangul + kana >= 2) & (F.length(s) <= 8) & ~tiny & said
-
-
 def unescape_entities(c: Column) -> Column:
     """The five predefined entities and the no-break space, in one pass order; others stay."""
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
