@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 
 def run_report(decisions: DataFrame, translations: DataFrame) -> DataFrame:
-    """Counts for each page with items. Both sides are rolled up by page before they meet; only accepted items count as
-    translations, those without a placeholder as rendered."""
-    accepted = decisions.where("reason is null").select("page_id", "region_id", F.lit(True).alias("in_layout"))
-    layout = decisions.groupBy("page_id").agg(F.count_if(F.col("reason").isNull()).alias("layout_constraints"), F.count_if(F.col("reason").isNotNull()).alias("rejected_layout_items"))
-    t = translations.join(accepted, ["page_id", "region_id"], "left").withColumns({"inside": F.coalesce("in_layout", F.lit(False)), "stand_in": F.trim("en_text").startswith("[TL:")})
-    t = t.groupBy("page_id").agg(F.count(F.lit(1)).alias("raw_translations"), F.count_if("inside").alias("translations"), F.count_if(F.col("inside") & F.col("stand_in")).alias("placeholder_translations"), F.count_if(F.col("inside") & ~F.col("stand_in")).alias("rendered_regions"))
-    out = layout.join(t, "page_id")
+    """Counts for each page with items and translations, in one join on the item and one roll-up by page; only accepted items
+    count as translations, those without a placeholder as rendered."""
+    d = decisions.select("page_id", "region_id", F.col("reason").isNull().alias("accepted"))
+    t = translations.select("page_id", "region_id", F.trim("en_text").startswith("[TL:").alias("stand_in"))
+    both = d.join(t, ["page_id", "region_id"], "full")
+    inside = F.coalesce("accepted", F.lit(False)) & F.col("stand_in").isNotNull()
+    out = both.groupBy("page_id").agg(
+        F.count_if(F.coalesce("accepted", F.lit(False))).alias("layout_constraints"), F.count_if(~F.coalesce("accepted", F.lit(True))).alias("rejected_layout_items"), F.count("stand_in").alias("raw_translations"),
+        F.count_if(inside).alias("translations"), F.count_if(inside & F.col("stand_in")).alias("placeholder_translations"), F.count_if(inside & ~F.col("stand_in")).alias("rendered_regions"),
+    ).where("layout_constraints + rejected_layout_items > 0 and raw_translations > 0")
     review = (F.col("translations") < F.col("layout_constraints")) | (F.col("rendered_regions") < F.col("translations"))
     return out.withColumn("output_safety", F.when(review, "review").otherwise("pass"))
 
