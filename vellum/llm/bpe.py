@@ -185,6 +185,7 @@ def encode(docs: DataFrame, path: str, pattern: str = RUNS, text: str = "text",
         return pa.table({BUCKET: pa.array([x[0] for x in sent], pa.int32()), BLOCK: pa.array([key[0].as_py()] * len(sent), pa.int32()), "sizes": pa.array([x[1] for x in sent], pa.binary()), "words": pa.array([x[2] for x in sent], pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
+        K.lean()
         enc, known, sizes, ids = encoding(path, pattern), {}, [], []
         for s, w in zip(table.column("sizes"), table.column("words"), strict=True):
             data, ends = _unpack(w, np.uint8).tobytes(), np.cumsum(_unpack(s, np.uint32), dtype=np.int64).tolist()
@@ -239,6 +240,7 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded",
     sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches):
+        K.lean()
         data, start, size = token_bytes(path)
         for batch in batches:
             found, packed = [], batch.column(ids)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textkernel import lean
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
@@ -57,6 +59,7 @@ def packed_blocks(docs: DataFrame, size: int, block_bytes: int) -> DataFrame:
     dealt = docs.withColumn(BLOCK, row_block(max(1, -(-size // block_bytes)), *keys))
 
     def pack(batches):
+        lean()
         for batch in (b for b in batches if b.num_rows):
             block = batch.column(BLOCK).to_numpy()
             order = np.argsort(block, kind="stable")

@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang", id_col: str =
 
     def sample(batches):
         for b in batches:
-            for at, part in K.slices(K.column(b.column(text)), 1 << 20, 1024):
+            for at, part in K.slices(K.column(b.column(text)), 1 << 19, 512):
                 yield pa.RecordBatch.from_arrays([b.column("__d").slice(at, len(part)), pa.array([x.tobytes() for x in pair_shares(part)[1]], pa.binary())], names=["d", "x"])
 
     got = picked.mapInArrow(sample, "d string, x binary").toPandas().sort_values(["d", "x"], kind="stable")
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang", id_col: str =
 
     def measure(batches):
         for b in batches:
-            for at, part in K.slices(K.column(b.column(text)), 1 << 20, 1024):
+            for at, part in K.slices(K.column(b.column(text)), 1 << 19, 512):
                 n, s = pair_shares(part)
                 yield pa.RecordBatch.from_arrays([b.column(id_col).slice(at, len(part)), pa.array(n.astype(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(mixer.posterior(s).ravel()), size).cast(pa.list_(pa.float64()))], names=[id_col, "n_words", "posterior"])
 
@@ -164,7 +164,7 @@ def realised(docs: DataFrame, mixer: Mixer, id_col: str = "doc_id", text: str =
     """`docs` with each row as often as its copies; the rates are replayed from the texts, without a join."""
     def run(batches):
         for b in batches:
-            for at, part in K.slices(K.column(b.column(text)), 1 << 20, 1024):
+            for at, part in K.slices(K.column(b.column(text)), 1 << 19, 512):
                 own = b.slice(at, len(part))
                 copies = _copies(mixer.rates(mixer.posterior(pair_shares(part)[1]))[0], own.column(id_col))
                 yield own.take(pa.array(np.repeat(np.arange(len(part)), copies)))

@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     def run(batches):
         for b in batches:
-            for at, part in K.slices(K.column(b.column(text)), 1 << 20, 1024):
+            for at, part in K.slices(K.column(b.column(text)), 1 << 19, 512):
                 c = term_counts(part)
                 yield pa.RecordBatch.from_arrays([b.column("__label").slice(at, len(part)), pa.array([x.tobytes() for x in c], pa.binary())], names=["__label", "c"])
 
@@ -129,7 +129,7 @@ def classify(docs: DataFrame, voters: Voters, text: str = "text", threshold: flo
 
     def run(batches):
         for b in batches:
-            s = [shared.value.score(term_counts(part)) for _, part in K.slices(K.column(b.column(text)), 1 << 20, 1024)]
+            s = [shared.value.score(term_counts(part)) for _, part in K.slices(K.column(b.column(text)), 1 << 19, 512)]
             s = np.concatenate([np.zeros(0), *s])
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in keep], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*[f.name for f in keep], "score", "predicted"])
 

@@ -160,6 +160,7 @@ def near_links(fps: DataFrame, distance: int = 2, group_size: int = 4096, least_
 
     def route(batches):
         """Each batch's own and guest fingerprints, packed by the range that they visit."""
+        K.lean()
         for batch in (b for b in batches if b.num_rows):
             fp, own = batch.column("fp").to_numpy(), batch.column("g").to_numpy()
             visits = [(number[node], word) for word, node in upper.search(fp.view(np.uint64), distance)]
@@ -174,6 +175,7 @@ def near_links(fps: DataFrame, distance: int = 2, group_size: int = 4096, least_
             yield pa.RecordBatch.from_arrays([pa.array((key[cut] >> 1).astype(np.int32)), pa.array(packed, pa.binary()), pa.array((key[cut] & 1) == 1)], names=["g", "fps", "guest"])
 
     def link(table: pa.Table) -> pa.Table:
+        K.lean()
         both = [b"".join(table.filter(pc.equal(table.column("guest"), x)).column("fps").to_pylist()) for x in (False, True)]
         a, b = _local_links(*(np.frombuffer(x, np.uint64) for x in both), distance)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})

@@ -93,6 +93,7 @@ def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, joine
         return pa.table({BUCKET: pa.array([i for i, _ in sent], pa.int32()), BLOCK: pa.array([key[0].as_py()] * len(sent), pa.int32()), "hashes": pa.array([x for _, x in sent], pa.binary())})
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        K.lean()
         sent = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
         h = np.concatenate(sent)
         order = np.argsort(h, kind="stable")

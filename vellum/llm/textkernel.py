@@ -8,7 +8,10 @@ in the bytes whatever the number of ranges. Null texts are empty texts.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,8 +74,20 @@ def ranges_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix(h ^ (end - start).astype(U64) * U64(0x9FB21C651E98DF25))
 
 
+@lru_cache(1)
+def lean() -> None:
+    """From now on this worker gives large arrays back to the system as soon as they are free, so that idle
+    workers, which Spark keeps beside the busy ones, hold little."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 18)  # from this size on an array has a mapping of its own
+        libc.mallopt(-1, 1 << 20)  # free memory at the heap's end that may stay
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def column(arr) -> pa.Array:
     """One contiguous string array without nulls."""
+    lean()
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks() if arr.num_chunks != 1 else arr.chunk(0)
         if isinstance(arr, pa.ChunkedArray):
@@ -89,7 +104,7 @@ def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
-def slices(arr: pa.Array, most: int = 1 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, pa.Array]]:
+def slices(arr: pa.Array, most: int = 1 << 19, rows: int = 1 << 16) -> Iterator[tuple[int, pa.Array]]:
     """Parts of a column() of at most about `most` bytes and `rows` rows, one document at least; with the first row."""
     _, offs = raw(arr)
     at, n = 0, len(arr)
