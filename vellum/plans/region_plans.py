@@ -9,7 +9,10 @@ from ..operators import dedupe, grouping, routing
 from ..sources import fixtures as fx
 from .fixture_sql import BUBBLES, REGIONS, TEXTS
 
-W_, H_ = F.col("img_w"), F.col("img_h")
+
+
+def _page():
+    return F.col("img_w"), F.col("img_h")
 
 
 def _boxes(make):
@@ -19,7 +22,7 @@ def _boxes(make):
 
 def _derive(spark, d):
     b = F.col("b")
-    return fx.regions(spark, d).withColumn("b", G.of()).select("page_id", "region_id", G.width(b).alias("w"), G.height(b).alias("h"), G.area(b).alias("area"), ((b["x1"] + b["x2"]) / 2).alias("cx"), ((b["y1"] + b["y2"]) / 2).alias("cy"), G.page_column(b, H_).alias("tall_column"), G.render_scale(G.width(b) * 5).alias("scale"))
+    return fx.regions(spark, d).withColumn("b", G.of()).select("page_id", "region_id", G.width(b).alias("w"), G.height(b).alias("h"), G.area(b).alias("area"), ((b["x1"] + b["x2"]) / 2).alias("cx"), ((b["y1"] + b["y2"]) / 2).alias("cy"), G.page_column(b, F.col("img_h")).alias("tall_column"), G.render_scale(G.width(b) * 5).alias("scale"))
 
 
 def _resized(spark, d):
@@ -66,12 +69,12 @@ def _crops(spark, d):
 
 QUERIES = {
     "box_derive": _derive,
-    "box_expand": _boxes(lambda b: G.expanded(b, F.lit(8), F.lit(8), W_, H_)),
-    "rotate_box": _boxes(lambda b: G.rotated(b, F.col("region_id") % 4 * 90, W_, H_)),
-    "vertical_layout_box": _boxes(lambda b: G.vertical_layout(b, W_, H_)),
-    "floating_growth": _boxes(lambda b: G.floating_growth(b, W_, H_)),
-    "crop_bounds": _boxes(lambda b: G.crop_bounds(b, W_, H_)),
-    "coerce_box": _boxes(lambda b: G.coerced(G.box(b["x1"] - 300, b["y1"] + 500, b["x2"] - 350, b["y2"] + 300), W_, H_)),
+    "box_expand": _boxes(lambda b: G.expanded(b, F.lit(8), F.lit(8), *_page())),
+    "rotate_box": _boxes(lambda b: G.rotated(b, F.col("region_id") % 4 * 90, *_page())),
+    "vertical_layout_box": _boxes(lambda b: G.vertical_layout(b, *_page())),
+    "floating_growth": _boxes(lambda b: G.floating_growth(b, *_page())),
+    "crop_bounds": _boxes(lambda b: G.crop_bounds(b, *_page())),
+    "coerce_box": _boxes(lambda b: G.coerced(G.box(b["x1"] - 300, b["y1"] + 500, b["x2"] - 350, b["y2"] + 300), *_page())),
     "resize_dims": _resized,
     "overlap_pairs": lambda spark, d: routing.pairs(fx.regions(spark, d), G.overlap, "overlap"),
     "iou_pairs": lambda spark, d: routing.pairs(fx.regions(spark, d), G.iou, "iou"),

@@ -16,13 +16,17 @@ def _events(spark, d):
     return fx.table(spark, d, "events").withColumn("at", F.unix_millis(F.col("ts").cast("timestamp")))
 
 
-_SERVICE = (F.floor(F.col("value") * 100)).cast("long")
-_BLOCK = F.floor(F.col("at") / DAY).cast("long")
+def _service():
+    return F.floor(F.col("value") * 100).cast("long")
+
+
+def _block():
+    return F.floor(F.col("at") / DAY).cast("long")
 
 
 def _lru(spark, d):
     key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")
-    return service.lru_hits(_events(spark, d), "event_type", key, "at", "event_id", _BLOCK)
+    return service.lru_hits(_events(spark, d), "event_type", key, "at", "event_id", _block())
 
 
 def _fit(spark, d):
@@ -49,9 +53,9 @@ def _statuses(spark, d):
 
 
 QUERIES = {
-    "queue_finish": lambda spark, d: service.queue_finish(_events(spark, d), "event_type", "at", "event_id", _SERVICE, _BLOCK).select("event_id", "finish"),
+    "queue_finish": lambda spark, d: service.queue_finish(_events(spark, d), "event_type", "at", "event_id", _service(), _block()).select("event_id", "finish"),
     "lru_hits": lambda spark, d: _lru(spark, d).select("event_id", "key", "hit"),
-    "in_flight_join": lambda spark, d: service.in_flight(_events(spark, d), ["user_id", "event_type"], "at", "event_id", _SERVICE * 20_000),
+    "in_flight_join": lambda spark, d: service.in_flight(_events(spark, d), ["user_id", "event_type"], "at", "event_id", _service() * 20_000),
     "debounce": lambda spark, d: service.debounced(_events(spark, d), ["user_id"], "at", "event_id", 3 * DAY).select("event_id", "user_id"),
     "retry_schedule": lambda spark, d: service.retries(fx.table(spark, d, "events").select("event_id"), "event_id"),
     "negative_cache": lambda spark, d: service.negative_cache(_events(spark, d), ["user_id"], "at", "event_id", DAY).select("event_id", "known_miss"),
