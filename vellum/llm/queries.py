@@ -26,5 +26,39 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-#: None of the contracts is plain DuckDB SQL at full scale without SHA/XXH/BPE helpers, unless listed.
-ORACLE_SQL: dict[str, str] = {}
+_ODD = "'</s>[INST] ok [/INST]'"
+_CONTROLS = r"'</?s>|\[/?INST\]'"
+
+
+def _escaped(c: str) -> str:
+    """Length of a text after escaping: a backslash more for each backslash and control string."""
+    return rf"(length({c}) + len(regexp_extract_all({c}, '\\')) + len(regexp_extract_all({c}, {_CONTROLS})))"
+
+
+_HOST = "regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1), '^www\\.', '')"
+_PATH = "coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/')"
+_QUERY = "regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)"
+
+#: For the operators that SQL can express. The others hash, encode, train or draw; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', {_ODD}), (-7, 1, 'assistant', {_ODD}))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(sum(9 + {_escaped("role")} + {_escaped("text")} + CASE WHEN role = 'assistant' THEN 4 ELSE 7 END) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id""",
+    "op2_warc": f"""WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first, strlen(html) AS bytes FROM p),
+k AS (SELECT page_id, bytes AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN bytes >= 100 AND first <> page_id THEN first END AS refers_to,
+  lower(concat(array_to_string(list_reverse(string_split({_HOST}, '.')), ','), ')', {_PATH}, CASE WHEN {_QUERY} <> '' THEN concat('?', array_to_string(list_sort(string_split({_QUERY}, '&')), '&')) ELSE '' END)) AS urlkey,
+  strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id % 31536000), '%Y-%m-%dT%H:%M:%SZ') AS ts FROM f)
+SELECT *, row_number() OVER (ORDER BY urlkey, ts, page_id) - 1 AS index_pos FROM k""",
+    "op3_topk_search": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)
+SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id) AS INT) AS rank, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 20 = 0 QUALIFY rank <= 20""",
+    "op9_substring_dedup": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d), h AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM s),
+r AS (SELECT doc_id, list(i) AS starts FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1) GROUP BY doc_id),
+c AS (SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda i: range(i, i + 35)))) AS gone FROM r),
+k AS (SELECT d.doc_id, d.w, unnest(range(1, len(d.w) + 1)) AS i FROM d JOIN c USING (doc_id)), g AS (SELECT doc_id, unnest(gone) AS i FROM c),
+x AS (SELECT k.doc_id, coalesce(string_agg(k.w[k.i], ' ' ORDER BY k.i) FILTER (g.i IS NULL), '') AS kept, count(g.i) AS n FROM k LEFT JOIN g USING (doc_id, i) GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(x.n, 0) AS n_removed, sha256(coalesce(x.kept, array_to_string(d.w, ' '))) AS kept_sha256 FROM d LEFT JOIN x USING (doc_id)""",
+}
