@@ -14,8 +14,9 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, chat_format, docstats, graph, mixing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, topk_search, warc
+from vellum.llm import bpe, chat_format, common, docstats, graph, mixing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, topk_search, warc
 from vellum.llm import textkernel as K
+
 from vellum.llm.common import shared_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -411,3 +412,17 @@ def test_pipeline(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     assert np.mean([q == (d in seen[0]) for d, q in labels.items()]) > 0.95
     same([tuple(r) for r in corpus_pipeline.run(spark, sf).collect()], [tuple(r) for r in docs.collect()])
+
+
+def test_shared_folder(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    df = common.written(spark.range(5), "numbers")
+    assert df.count() == 5 and common.shared_path(spark, "x") != common.shared_path(spark, "x")
+
+    class Unset:
+        conf = type("C", (), {"get": staticmethod(lambda key, other=None: other)})
+        sparkContext = spark.sparkContext
+
+    assert common.shared_dir(Unset) == common.shared_dir(Unset) and common.shared_dir(Unset).startswith("file:///")
+    assert spark.conf.get("spark.checkpoint.dir", None) == before
+    assert common.drop_written(spark)

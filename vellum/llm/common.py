@@ -13,17 +13,30 @@ from pyspark.sql import functions as F
 from .textkernel import lean
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="vellum-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        at = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="vellum-"))
     return at.rstrip("/")
 
 
+def _app_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/vellum/{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/vellum/{name}-{uuid.uuid4().hex}"
+    return f"{_app_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_written(spark: SparkSession) -> bool:
+    """Deletes what this application has written in the shared folder; call it when its results are stored."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_app_dir(spark))
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
