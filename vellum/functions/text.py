@@ -175,3 +175,17 @@ def fnv_hash(c: Column) -> Column:
     signed = F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h)
     digits = F.lower(F.conv(F.abs(signed).cast("string"), 10, 36))
     return F.when(n == 0, F.lit("")).otherwise(F.concat(F.when(signed < 0, F.lit("-")).otherwise(F.lit("")), digits))
+
+
+def scrubbed(c: Column) -> Column:
+    """A message without bearer tokens and keys; at most 1000 characters."""
+    s = F.regexp_replace(c, r"Bearer\s+[A-Za-z0-9_.\-]+", "Bearer [REDACTED]")
+    return F.left(F.regexp_replace(s, r"key=([^&\s]+)", "key=[REDACTED]"), F.lit(1000))
+
+
+def health_url(c: Column, otherwise: str = "http://127.0.0.1:8766/v1/health") -> Column:
+    """The health address of a service address, without query and fragment; prefixes before /v1/ stay for the image and
+    snapshot calls."""
+    path = F.regexp_extract(c, r"^https?://[^/?#]+([^?#]*)", 1)
+    own = F.when(path.rlike(r"/v1/translate-(image|snapshot)$"), F.regexp_replace(path, r"/v1/translate-(image|snapshot)$", "/v1/health")).when(path.rlike(r"/translate-(image|snapshot)$"), path).otherwise("/v1/health")
+    return F.when(c.rlike(r"^https?://[^/?#]+"), F.concat(F.regexp_extract(c, r"^(https?://[^/?#]+)", 1), own)).otherwise(otherwise)

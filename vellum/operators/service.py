@@ -90,3 +90,17 @@ def negative_cache(events: DataFrame, key: list[str], at: str, order: str, ttl:
     """known_miss: whether the key's event before is at most ttl ago."""
     before = F.lag(at).over(W.partitionBy(*key).orderBy(at, order))
     return events.withColumn("known_miss", F.coalesce(F.col(at) - before < ttl, F.lit(False)))
+
+
+def key_order(keys: Column, cursor: Column, disabled: Column) -> Column:
+    """Places (from 1) of a provider's keys in the order to try: from the cursor on, round, without disabled ones."""
+    n = F.size(keys)
+    start = F.pmod(cursor, F.greatest(F.lit(1), n))
+    places = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1)), lambda i: F.pmod(start + i, n) + 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, lambda p: ~F.array_contains(disabled, p))
+
+
+def lookup(requests: DataFrame, cached: DataFrame, running: DataFrame, key: str) -> DataFrame:
+    """state: hit, in_flight or miss, by the keys that are cached and those that run."""
+    c, r = cached.select(key).distinct().withColumn("__c", F.lit(True)), running.select(key).distinct().withColumn("__r", F.lit(True))
+    return requests.join(c, key, "left").join(r, key, "left").withColumn("state", F.when(F.col("__c"), "hit").when(F.col("__r"), "in_flight").otherwise("miss")).drop("__c", "__r")
