@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, chat_format, common, docstats, graph, mixing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, topk_search, warc
+from vellum.llm import bpe, chat_format, common, docstats, graph, mixing, quality_classifier, quality_rules, sharding, shingle_dedup, simhash, substring_dedup, topk_search, warc
 from vellum.llm import textkernel as K
 
 from vellum.llm.common import shared_path
@@ -110,6 +110,49 @@ def test_simhash(spark, odd):
     assert with_id == sorted({c for _, _, c in expected if c is not None})
 
 
+def test_pipeline_near_duplicates_by_five_words(spark):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(400)}"
+    texts = []
+    for _ in range(25):
+        w = [word() for _ in range(rng.randint(40, 160))]
+        texts.append(w)
+        for _ in range(rng.randint(0, 4)):  # copies of copies, so components are chains
+            w = list(w)
+            for _ in range(rng.randint(1, 3)):
+                w[rng.randrange(len(w))] = word()
+            texts.append(w)
+    ids = rng.sample(range(1000), len(texts))
+    rows = [(i, " ".join(w)) for i, w in zip(ids, texts, strict=True)] + [(2000, "one two"), (2001, "One  two"), (2002, ""), (2003, None), (None, "alone here"), (3000, "left apart a b c"), (3000, "right apart d e f")]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(rows[i])
+    expected = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert shingle_dedup.keep_one(none).count() == 0
+
+
 def test_gray_tree_finds_all_links():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
