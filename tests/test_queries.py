@@ -172,3 +172,35 @@ def test_windowed_counts(spark):
     want = events.groupBy(F.to_date("ts").alias("d"), "event_type").count().collect()
     got = spark.table("counts").select(F.to_date("w.start").alias("d"), "event_type", "n").collect()
     assert sorted(map(tuple, want)) == sorted(map(tuple, got))
+
+
+def documents(spark):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def wrapped_lines(words, width):
+    lines, now = [], ""
+    for word in words:
+        joined = f"{now} {word}" if now else word
+        if len(joined) <= width:
+            now = joined
+            continue
+        if now:
+            lines.append(now)
+        pieces = [word[i : i + width] for i in range(0, len(word), width)]
+        lines, now = lines + pieces[:-1], pieces[-1]
+    return len(lines) + (now != "" or not lines)
+
+
+def test_fit_font_reads_whole_texts(spark):
+    texts = documents(spark)
+    boxes = {(r.page_id, r.region_id): (r.x2 - r.x1, r.y2 - r.y1) for r in fx.regions(spark, SF).collect() if r.page_id in texts}
+    got = {(r.page_id, r.region_id): (r.font_size, r.n_lines) for r in QUERIES["fit_font"](spark, SF).collect()}
+    assert got.keys() == boxes.keys()
+    for (page, region), (w, h) in boxes.items():
+        words, w, h = texts[page].split(), max(1, w - 16), max(1, h - 16)
+        lines = lambda s: wrapped_lines(words, max(1, int(w / (s * 0.6))))  # noqa: B023, E731
+        size = max(7, math.floor(min(h * 0.48, w * 0.42, 56)))
+        while size > 7 and not (int(w / (size * 0.6)) >= 1 and lines(size) * math.ceil(size * 1.2) <= h):
+            size -= 1
+        assert got[page, region] == (size, lines(size)), (page, region)
