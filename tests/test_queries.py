@@ -204,3 +204,24 @@ def test_fit_font_reads_whole_texts(spark):
         while size > 7 and not (int(w / (size * 0.6)) >= 1 and lines(size) * math.ceil(size * 1.2) <= h):
             size -= 1
         assert got[page, region] == (size, lines(size)), (page, region)
+
+
+def test_position_candidates_take_every_region(spark):
+    half = lambda x: round(x)  # noqa: E731  half to even
+    expected = set()
+    for r in fx.regions(spark, SF).collect():
+        bw, bh = 20 + r.page_id % 50, 10 + r.page_id % 40
+        last_x, last_y = r.x2 - bw, r.y2 - bh
+        if last_x < r.x1 or last_y < r.y1:
+            continue
+        step = max(2, min(bw, bh) // 10)
+        centres = [((r.x1 + r.x2) / 2, r.y1 + 30.0), (r.x2 - 10.0, (r.y1 + r.y2) / 2), ((r.x1 + r.x2) / 2, (r.y1 + r.y2) / 2)]
+        for cx, cy in centres:
+            for dx, dy in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)):
+                x, y = half(cx + step * dx - bw / 2), half(cy + step * dy - bh / 2)
+                expected.add((r.page_id, r.region_id, min(max(x, r.x1), last_x), min(max(y, r.y1), last_y)))
+        axis = lambda lo, hi, size: [half(lo + i * ((hi - lo) / (n - 1))) for n in (min(5, max(2, (hi - lo) // max(1, size // 2) + 1)),) for i in range(n)]
+        expected |= {(r.page_id, r.region_id, x, y) for x in axis(r.x1, last_x, bw) for y in axis(r.y1, last_y, bh)}
+    got = [tuple(r) for r in QUERIES["position_candidates"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    assert max(region for _, region, _, _ in got) >= 2
