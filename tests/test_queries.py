@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -225,3 +226,16 @@ def test_position_candidates_take_every_region(spark):
     got = [tuple(r) for r in QUERIES["position_candidates"](spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == expected
     assert max(region for _, region, _, _ in got) >= 2
+
+
+def test_layout_variants_read_whole_texts(spark):
+    squeezed = lambda t: " ".join(t.split())
+    got = {r.doc_id: r.variants for r in QUERIES["layout_variants"](spark, SF).collect()}
+    for doc, text in documents(spark).items():
+        clean = squeezed(text)
+        words, found = clean.split(" "), [clean]
+        bare = re.sub("^[ ,.;:]+|[ ,.;:]+$", "", squeezed(re.sub(r"\([^)]{1,80}\)", "", clean)))
+        found += [bare] if bare else []
+        found += [p for p in (re.split(cut, clean, maxsplit=1)[0].strip() for cut in (r"(?<=[.!?])\s+", r"[,;:]\s+")) if 16 <= len(p) < len(clean)]
+        found += [clean if len(words) <= n else re.sub("[.,;:]+$", "", " ".join(words[:n])) + "..." for n in (16, 12, 9)]
+        assert got[doc] == ("" if not clean else clean if len(clean) < 55 else "|".join(dict.fromkeys(found))), doc

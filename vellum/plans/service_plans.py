@@ -64,7 +64,7 @@ QUERIES = {
     "wrap_lines": lambda spark, d: fx.texts(spark, d).select("page_id", "region_id", F.array_join(typeset.wrapped(F.col("text"), (F.lit(4) + F.col("page_id") % 9).cast("int")), "|").alias("lines")),
     "fit_font": _fit,
     "position_candidates": _positions,
-    "layout_variants": lambda spark, d: fx.table(spark, d, "documents").select("doc_id", F.array_join(typeset.variants(F.left("text", (F.lit(30) + F.col("doc_id") % 200).cast("int"))), "|").alias("variants")),
+    "layout_variants": lambda spark, d: fx.table(spark, d, "documents").select("doc_id", F.array_join(typeset.variants(F.col("text")), "|").alias("variants")),
     "text_metrics": lambda spark, d: fx.regions(spark, d).select("page_id", "region_id", typeset.outline(F.col("txt_len"), F.col("region_id") % 2 == 0).alias("outline"), typeset.line_spacing(F.col("txt_len")).alias("spacing")),
     "robust_inlier_centroid": lambda spark, d: stats.robust_centroid(fx.table(spark, d, "embeddings"), "label", "embedding", 1.0).select("label", "n_inliers", F.array_join(F.transform("centroid", lambda x: F.round(x, 5).cast("decimal(12,5)").cast("string")), ",").alias("centroid")),
     "mad_trim": lambda spark, d: stats.mad_trimmed(fx.table(spark, d, "lineitem"), F.col("l_partkey") % 50, "l_extendedprice", 500.0, 1.5).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean")),
