@@ -239,3 +239,18 @@ def test_layout_variants_read_whole_texts(spark):
         found += [p for p in (re.split(cut, clean, maxsplit=1)[0].strip() for cut in (r"(?<=[.!?])\s+", r"[,;:]\s+")) if 16 <= len(p) < len(clean)]
         found += [clean if len(words) <= n else re.sub("[.,;:]+$", "", " ".join(words[:n])) + "..." for n in (16, 12, 9)]
         assert got[doc] == ("" if not clean else clean if len(clean) < 55 else "|".join(dict.fromkeys(found))), doc
+
+
+def test_shorten_text_uses_whole_texts(spark, tmp_path):
+    from vellum.operators import translate
+
+    lead = "There are lots of (odd) things that really do not know. It is the end of "
+    texts = [(i, "word " * (3 + 7 * i) + "tail" + str(i)) for i in range(40)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    keep, translate.shortened = translate.shortened, lambda df, text, budget: seen.append(df.select("page_id", text)) or keep(df, text, budget)
+    try:
+        QUERIES["shorten_text"](spark, str(tmp_path)).collect()
+    finally:
+        translate.shortened = keep
+    assert {r.page_id: r.said for r in seen[0].collect()} == {i: lead + re.sub("[^A-Za-z .,]", " ", t) for i, t in texts}

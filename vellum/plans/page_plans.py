@@ -40,10 +40,12 @@ def _bodies(spark, d):
 
 _SAID = "concat('There are lots of (odd) things that really do not know. It is the end of ', left(regexp_replace(text, '[^A-Za-z .,]', ' '{g}), 10 + CAST(page_id % 90 AS INT)))"
 
+_WHOLE = "concat('There are lots of (odd) things that really do not know. It is the end of ', regexp_replace(text, '[^A-Za-z .,]', ' '))"
+
 
 def _short(spark, d):
     t = fx.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
-    t = t.withColumn("said", F.expr(_SAID.format(g=""))).withColumn("budget", (F.lit(16) + F.col("page_id") % 105).cast("int"))
+    t = t.withColumn("said", F.expr(_WHOLE)).withColumn("budget", (F.lit(16) + F.col("page_id") % 105).cast("int"))
     return translate.shortened(t, "said", "budget").select("page_id", "short")
 
 
