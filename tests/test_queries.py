@@ -241,6 +241,13 @@ def test_layout_variants_read_whole_texts(spark):
         assert got[doc] == ("" if not clean else clean if len(clean) < 55 else "|".join(dict.fromkeys(found))), doc
 
 
+def test_cache_id_hashes_the_whole_source(spark, tmp_path):
+    head = "x" * 300
+    spark.createDataFrame([(1, "u", head + "a" * 99), (2, "u", head + "b" * 99), (3, "u", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.cache_id for r in QUERIES["cache_id"](spark, str(tmp_path)).collect()}
+    assert len(set(got.values())) == 3 and got[3].endswith(":")
+
+
 def test_shorten_text_uses_whole_texts(spark, tmp_path):
     from vellum.operators import translate
 

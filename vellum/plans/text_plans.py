@@ -28,7 +28,7 @@ QUERIES = {
     "clean_markup": lambda spark, d: fx.table(spark, d, "pages").select("page_id", F.md5(T.clean_markup(F.col("html")).cast("binary")).alias("text_md5"), F.length(T.clean_markup(F.col("html"))).alias("n_chars")),
     "valid_translation": lambda spark, d: fx.responses(spark, d).join(fx.texts(spark, d), [*KEY]).select(*KEY, "provider", T.valid_answer(F.col("text"), F.col("en_text")).alias("valid")),
     "fast_hash": lambda spark, d: fx.table(spark, d, "pages").select("page_id", T.fnv_hash(F.col("url")).alias("url_hash")),
-    "cache_id": lambda spark, d: fx.table(spark, d, "pages").select("page_id", F.concat_ws(":", F.lit("v1"), F.lit("ja"), T.fnv_hash(F.col("url")), T.fnv_hash(F.coalesce(F.nullif(F.substring("html", 1, 0), F.lit("")), F.left("html", F.lit(300))))).alias("cache_id")),
+    "cache_id": lambda spark, d: fx.table(spark, d, "pages").select("page_id", F.concat_ws(":", F.lit("v1"), F.lit("ja"), T.fnv_hash(F.col("url")), T.fnv_hash(F.coalesce("html", F.lit("")))).alias("cache_id")),
     "language_hint": lambda spark, d: fx.table(spark, d, "documents").select("doc_id", T.language_hint(F.element_at(F.array(*map(F.lit, (" KO ", "chinese", "tw", "ja", "", "korean", "en"))), (F.col("doc_id") % 7 + 1).cast("int"))).alias("language")),
 }
 
