@@ -1,16 +1,19 @@
 """Byte-level BPE with each distinct word encoded once.
 
-Rows are dealt into blocks of a few MB of text. A block splits its texts into pre-tokens, keeps their
+Rows are dealt into blocks of a few MB of text by a hash of their place. A block splits its texts into pre-tokens, keeps their
 positions, and sends its distinct pre-tokens by hash to the tasks that merge; there the lists of
 all blocks meet, each distinct word is encoded once, and the ids go back to the blocks that asked.
 The block puts them at the positions of its pre-tokens. Both reads of the blocks are one shuffle of
-the texts; the words that travel are a block's distinct ones, compressed, so a very common word
-costs one entry a block. Decoding joins the token-byte table, whose size is that of the vocabulary.
+the texts, and the positions are found again by the same split rather than sent; the words that travel are a block's
+distinct ones, compressed, so a very common word costs one entry a block. Words are told apart by their bytes: hashes
+only propose which are equal. Decoding looks ids up in the token-byte table, whose size is that of the
+vocabulary: 50,000 entries in each worker, which a join would have to broadcast as well.
 
-Memory: a task holds one block, or one bucket of words (`bucket_words`).
+Memory: a task holds one block or one bucket of words (`bucket_words`). A block grows with the number of
+buckets up to 64 MB, so messages a GB stay level up to 1,024 buckets; beyond that raise `bucket_words` and `block_bytes`.
 
 Cases: null and empty texts have no ids and decode to empty bytes; a text that is one very long pre-token is one
-word; repeated rows each come back; an empty table gives an empty one. Extra columns are carried along
+word; repeated rows each come back; there are no ties; an empty table gives an empty one. Extra columns are carried along
 unless a result column has the same name, which then replaces it.
 """
 
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import BLOCK, packed_blocks, text_bytes, unpacked
+from .common import BLOCK, block_bytes_for, packed_blocks, text_bytes, unpacked
 
 BUCKET = "__vellum_bucket"
 #: Fixed value: the split pattern for which the runs of character classes below stand.
@@ -121,50 +124,43 @@ def pretokens(buf: np.ndarray, offs: np.ndarray, pattern: str = RUNS) -> tuple[n
 
 
 class _Block:
-    """The pre-tokens of one block: distinct words in hash order, and which of them stands where."""
+    """The pre-tokens of one block: distinct words in hash order, and for each part of the texts which of them stands where."""
 
     def __init__(self, texts: pa.Array, pattern: str):
-        first, hashes, checks, words, n = [0], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [], 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        sizes, words = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+        known = 0
         for _, part in K.slices(texts):
             buf, offs = K.raw(part)
             start, end, at = pretokens(buf, offs, pattern)
-            hashes.append(K.ranges_hash(buf, start, end))
-            checks.append(K.ranges_hash(buf[::-1], len(buf) - end, len(buf) - start))
-            words.append((buf, start, end))
-            first.extend((at[1:] + n).tolist())
-            n += len(start)
-        self.first, key, check = np.array(first), np.concatenate(hashes), np.concatenate(checks)
-        while True:
-            self.distinct, one, self.place = np.unique(key, return_index=True, return_inverse=True)
-            if (check == check[one][self.place]).all():
-                break
-            key = K.mix(key + check)  # two words met in one hash
-        cut = np.cumsum([0, *(len(s) for _, s, _ in words)])
-        part = np.searchsorted(cut, one, "right") - 1
-        start, end = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
-        base, total = np.cumsum([0, *(len(b) for b, _, _ in words)]), np.concatenate([b for b, _, _ in words] or [np.zeros(0, np.uint8)])
-        for i, (_, s, e) in enumerate(words):
-            own = part == i
-            start[own], end[own] = s[one[own] - cut[i]] + base[i], e[one[own] - cut[i]] + base[i]
-        self.size = end - start
-        self.bytes = total[_spread(start, self.size)]
+            first, place, _ = K.identify(buf, start, end)
+            size = end[first] - start[first]
+            self.parts.append((at, (place + known).astype(np.int32)))
+            sizes.append(size)
+            words.append(buf[K.spread(start[first], size)])
+            known += len(first)
+        # the words of all parts once more, as parts share many
+        size, data = np.concatenate(sizes), np.concatenate(words)
+        end = np.cumsum(size)
+        first, place, key = K.identify(data, end - size, end)
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        self.rank = rank[place]
+        self.hash, first = key[order], first[order]
+        self.size = size[first]
+        self.bytes = data[K.spread((end - size)[first], self.size)]
 
     def lists(self, bits: int):
         """(bucket, word sizes, bytes) of the distinct words, by hash range."""
-        cuts = np.searchsorted(self.distinct, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, int)
-        cuts = [0, *cuts.tolist(), len(self.distinct)]
+        cuts = np.searchsorted(self.hash, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, int)
+        cuts = [0, *cuts.tolist(), len(self.hash)]
         ends = np.cumsum([0, *self.size.tolist()])
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if b > a:
                 yield i, self.size[a:b], self.bytes[ends[a] : ends[b]]
 
 
-def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The concatenated ranges start .. start + size - 1."""
-    ends = np.cumsum(size)
-    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def _pack(x: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
 
@@ -173,12 +169,13 @@ def _unpack(x: pa.Scalar, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(x.as_buffer()), kind)
 
 
-def encode(docs: DataFrame, path: str, pattern: str = RUNS, text: str = "text", block_bytes: int = 4 << 20, bucket_words: int = 1 << 18, carry_text: bool = False) -> DataFrame:
-    """Rows of `docs`, without the text, with n_tokens and ids (32-bit little-endian unsigned integers, packed)."""
+def encode(docs: DataFrame, path: str, pattern: str = RUNS, text: str = "text", block_bytes: int | None = None, bucket_words: int = 1 << 18, carry_text: bool = False, settled: bool = False) -> DataFrame:
+    """Rows of `docs`, without the text, with n_tokens and ids (32-bit little-endian unsigned integers, packed).
+    settled: `docs` is a plain scan of files, so it need not be written before it is dealt."""
+    docs = docs.drop("n_tokens", "ids")
     _, size = text_bytes(docs, text)
     bits = max(0, int(np.ceil(np.log2(max(1, size / 50 / bucket_words)))))
-    docs = docs.drop("n_tokens", "ids")
-    dealt = packed_blocks(docs, size, block_bytes)
+    dealt = packed_blocks(docs, size, block_bytes or block_bytes_for(1 << bits), settled)
 
     def ask(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         sent = [(i, _pack(s.astype(np.uint32)), _pack(b)) for i, s, b in _Block(K.column(unpacked(table).column(text)), pattern).lists(bits)]
@@ -208,13 +205,15 @@ def encode(docs: DataFrame, path: str, pattern: str = RUNS, text: str = "text",
         order = np.argsort(told.column(BUCKET).to_numpy(), kind="stable").tolist()
         size = np.concatenate([np.zeros(0, np.uint32), *(_unpack(told.column("sizes")[i], np.uint32) for i in order)]).astype(np.int64)
         ids = np.concatenate([np.zeros(0, np.uint32), *(_unpack(told.column("ids")[i], np.uint32) for i in order)])
-        start, place = np.cumsum(size) - size, block.place
-        ends = np.zeros(len(place) + 1, np.int64)
-        np.cumsum(size[place], out=ends[1:])
-        offs, packed = ends[block.first], [b""]
-        for a in range(0, len(place), 1 << 20):
-            some = place[a : a + (1 << 20)]
-            packed.append(ids[_spread(start[some], size[some])].tobytes())
+        start, offs, packed, at = np.cumsum(size) - size, [np.zeros(1, np.int64)], [b""], 0
+        for first, place in block.parts:
+            place = block.rank[place]
+            ends = np.zeros(len(place) + 1, np.int64)
+            np.cumsum(size[place], out=ends[1:])
+            packed.append(ids[K.spread(start[place], size[place])].tobytes())
+            offs.append(ends[first[1:]] + at)
+            at += ends[-1]
+        offs = np.concatenate(offs)
         data = pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(offs * 4), pa.py_buffer(b"".join(packed))]).cast(pa.binary())
         return pa.table([*[table.column(f.name) for f in keep], pa.array(np.diff(offs)), data], names=[*[f.name for f in keep], "n_tokens", "ids"])
 
@@ -251,7 +250,7 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded",
                 while to < len(packed) and (to == at or n + len(packed[to]) < 1 << 20):
                     n, to = n + len(packed[to]), to + 1
                 own = np.frombuffer(b"".join(packed[at:to]), "<u4")
-                text = data[_spread(start[own], size[own])].tobytes()
+                text = data[K.spread(start[own], size[own])].tobytes()
                 ends = np.zeros(len(own) + 1, np.int64)
                 np.cumsum(size[own], out=ends[1:])
                 cut = ends[np.cumsum([0, *(len(x) // 4 for x in packed[at:to])])].tolist()
@@ -272,6 +271,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+def tokenizer_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return decode(encode(docs, tokenizer_path()), tokenizer_path(), digests=True)
+    path = tokenizer_path()
+    return decode(encode(docs, path, tokenizer_pattern(), settled=True), path, digests=True)

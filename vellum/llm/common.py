@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +16,16 @@ from .textkernel import lean
 
 
 _own: dict[str, str] = {}
+_scopes: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a temporary one, on a local master only: executors of a
+    cluster would each write to a disk of their own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         at = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="vellum-"))
     return at.rstrip("/")
@@ -30,13 +36,28 @@ def _app_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{_app_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return "/".join([_app_dir(spark), *_scopes, f"{name}-{uuid.uuid4().hex}"])
+
+
+def _drop(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop_written(spark: SparkSession) -> bool:
     """Deletes what this application has written in the shared folder; call it when its results are stored."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_app_dir(spark))
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return _drop(spark, _app_dir(spark))
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end; store what has to last outside."""
+    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _drop(spark, "/".join([_app_dir(spark), *_scopes]))
+        _scopes.pop()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -46,11 +67,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_block(blocks: int, *keys: Column) -> Column:
-    """A block number from 0 that depends on the row's values only, so a repeated task deals rows alike."""
-    return F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int")
-
-
 def text_bytes(df: DataFrame, col: str = "text") -> tuple[int, int]:
     """Rows and UTF-8 bytes of a text column."""
     n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(col)), F.lit(0))).first()
@@ -65,11 +81,19 @@ def crc_bucket(col: str, n: int) -> Column:
 BLOCK = "__vellum_block"
 
 
-def packed_blocks(docs: DataFrame, size: int, block_bytes: int) -> DataFrame:
-    """(BLOCK, rows): the rows of `docs` dealt into blocks of about block_bytes of its `size` bytes by a hash of
-    their values. Rows of one batch and block travel as one compressed Arrow message, see unpacked()."""
-    keys = [F.col(c) for c, t in docs.dtypes if t in ("bigint", "int", "string")] or [F.lit(0)]
-    dealt = docs.withColumn(BLOCK, row_block(max(1, -(-size // block_bytes)), *keys))
+def block_bytes_for(buckets: int, least: int = 4 << 20, most: int = 64 << 20, message: int = 64 << 10) -> int:
+    """Text bytes of a block whose messages to each of `buckets` stand for about `message` bytes of text: messages then are as
+    many a GB for a small input as for a large one, until a block comes to `most`."""
+    return min(most, max(least, buckets * message))
+
+
+def packed_blocks(docs: DataFrame, size: int, block_bytes: int, settled: bool = False) -> DataFrame:
+    """(BLOCK, rows): the rows of `docs` dealt into blocks of about block_bytes of its `size` bytes by a hash of their
+    place, so rows that are equal spread like others. Rows of one batch and block travel as one compressed Arrow
+    message, see unpacked(). Places must be the same each time that the rows are read: settled=True says so, as for a
+    plain scan of files; other tables are written first."""
+    place = F.xxhash64(F.monotonically_increasing_id())
+    dealt = (docs if settled else written(docs, "settled")).withColumn(BLOCK, F.pmod(place, F.lit(max(1, -(-size // block_bytes)))).cast("int"))
 
     def pack(batches):
         lean()

@@ -38,17 +38,15 @@ def _duplicate_lines(words: K.Words) -> np.ndarray:
     some = solid[end] > solid[start]
     start, end = start[some], end[some]
     doc = np.searchsorted(offs, start, "right") - 1
-    key = K.mix(K.ranges_hash(buf, start, end) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, first, back = np.unique(key, return_index=True, return_inverse=True)
-    return np.bincount(doc[first[back] != np.arange(len(key))], minlength=len(offs) - 1)
+    first, place = K.grouped(doc, K.identify(buf, start, end)[1])
+    return np.bincount(doc[first[place] != np.arange(len(doc))], minlength=len(offs) - 1)
 
 
 def _repeat_words(words: K.Words, size: int = 3) -> np.ndarray:
     """Words in windows of `size` words that stand twice or more in their text, the first included."""
-    at, h = words.windows(size)
-    doc = words.doc[at].astype(np.uint64)
-    _, back, count = np.unique(K.mix(h + doc * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
-    return words.per_doc(words.covered(at[count[back] > 1], size))
+    at, ids = words.starts(size), words.ids[0]
+    _, place = K.grouped(words.doc[at], *(ids[at + i] for i in range(size)))
+    return words.per_doc(words.covered(at[np.bincount(place)[place] > 1], size))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -61,14 +59,11 @@ def counts(texts: pa.Array) -> dict[str, np.ndarray]:
     for _, part in K.slices(texts):
         w = K.words_of(part)
         lead = (w.buf & 0xC0) != 0x80
-        same = np.zeros(len(w.start), bool)
-        if len(same):
-            same[1:] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
         parts.append({
             "n_words": w.count, "word_chars": _sum(lead & w.solid, w.offs), "n_symbols": _sum(_IS["symbol"][w.buf], w.offs),
             "n_dup_lines": _duplicate_lines(w), "n_repeat_words": _repeat_words(w),
             "n_chars": _sum(lead, w.offs), "n_upper": _sum(_IS["upper"][w.buf], w.offs), "n_lower": _sum(_IS["lower"][w.buf], w.offs),
             "n_digits": _sum(_IS["digit"][w.buf], w.offs), "n_stops": _sum(_IS["stop"][w.buf], w.offs), "n_lines": _sum(_IS["line"][w.buf], w.offs) + 1,
-            "n_short": w.per_doc(w.end - w.start == 1), "n_same": w.per_doc(same),
+            "n_short": w.per_doc(w.end - w.start == 1), "n_same": w.per_doc(w.again),
         })
     return {k: np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]).astype(np.int64) for k in (*COUNTS, *EXTRA)}

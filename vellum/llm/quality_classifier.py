@@ -48,11 +48,10 @@ def term_counts(texts: pa.Array) -> np.ndarray:
     np.cumsum(kind == 1, out=upper[1:])
     inner = (upper[w.end] - upper[w.start + 1]) > 0
     shape = ((kind[w.start] * 8 + kind[w.end - 1]) * 2 + inner) * 4 + np.minimum(3, (size - 1) // 4)
-    same = np.zeros(len(doc), bool)
-    same[1:] = (w.hash[1:] == w.hash[:-1]) & (doc[1:] == doc[:-1])
+    same = w.again
     pair = np.zeros(len(doc), np.int64)
     pair[1:] = (kind[w.end[:-1] - 1] * 8 + kind[w.start[1:]]) * 2 + same[1:]
-    for term, at in (((w.hash >> np.uint64(20)).astype(np.int64) % WORDS, 0), (shape % SHAPES, WORDS), (pair + 128 * same, WORDS + SHAPES)):
+    for term, at in (((w.hash() >> np.uint64(20)).astype(np.int64) % WORDS, 0), (shape % SHAPES, WORDS), (pair + 128 * same, WORDS + SHAPES)):
         out += np.bincount(doc * DIM + at + term, minlength=n * DIM).reshape(n, DIM)
     return out
 
