@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, chat_format, common, docstats, graph, mixing, quality_classifier, quality_rules, sharding, shingle_dedup, simhash, substring_dedup, topk_search, warc
+from vellum.llm import bpe, chat_format, common, docstats, graph, mixing, near_texts, quality_classifier, quality_rules, sharding, simhash, substring_dedup, topk_search, warc
 from vellum.llm import textkernel as K
 
 from vellum.llm.common import shared_path
@@ -104,10 +104,6 @@ def test_simhash(spark, odd):
     expected = [(r[0], f, c) for r, f, c in zip(rows, fps, brute_components(fps, [r[0] for r in rows]), strict=True)]
     got = simhash.near_duplicates(df).collect()
     same([(r.doc_id, r.fingerprint % 2**64, r.component_id) for r in got], expected)
-    kept = simhash.keep_one(df)
-    assert kept.columns == df.columns
-    with_id = sorted(r.doc_id for r in kept.where("doc_id is not null").collect())
-    assert with_id == sorted({c for _, _, c in expected if c is not None})
 
 
 def test_pipeline_near_duplicates_by_five_words(spark):
@@ -150,7 +146,7 @@ def test_pipeline_near_duplicates_by_five_words(spark):
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert shingle_dedup.keep_one(none).count() == 0
+    assert near_texts.keep_one(none).count() == 0
 
 
 def test_gray_tree_finds_all_links():
@@ -437,7 +433,7 @@ def test_mixing(spark, odd):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert substring_dedup.remove_repeated(none).count() == 0
-    assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
+    assert simhash.near_duplicates(none).count() == 0 and near_texts.keep_one(none).count() == 0
     assert bpe.decode(bpe.encode(none, bpe.tokenizer_path()), bpe.tokenizer_path()).count() == 0
 
 

@@ -78,6 +78,11 @@ def crc_bucket(col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def one_text(labelled: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(text, __label): of each id the least text, so an id that is repeated without end counts once."""
+    return labelled.groupBy(id_col).agg(F.min(text).alias(text), F.min("__label").alias("__label")).select(text, "__label")
+
+
 BLOCK = "__vellum_block"
 
 

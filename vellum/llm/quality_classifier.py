@@ -9,9 +9,12 @@ blocks; the `neighbours` nearest vote with weight max(cosine, 0)**`sharpness`, a
 
 One pass without a shuffle. Labels, language, source and id are no inputs of a score.
 
-Cases: null and empty texts have no terms, their score is the share of label 1 in the sample; without
-labels every score is 1; repeated rows each come back; an empty table gives an empty one. A document that
-is itself in the sample is scored like any other, so judge accuracy on held-out rows.
+Cases: null and empty texts have no terms, their score is the share of label 1 in the sample; very long texts are counted
+whole, one part of a batch each; labels other than 0 and 1 are ignored, without usable labels every score is 1; an id
+repeated in the labels counts once (the lower label), in the documents once (the least text); of neighbours with the same cosine
+those of smaller place in the sample, which is ordered by its terms, vote; repeated rows each come back; an empty table gives
+an empty one. Extra columns are carried along unless they are called score or predicted, which the results replace. A
+document that is itself in the sample is scored like any other, so judge accuracy on held-out rows.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import crc_bucket
+from .common import crc_bucket, one_text
 
 WORDS, SHAPES, PAIRS = 256, 512, 256
 DIM = WORDS + SHAPES + PAIRS
@@ -65,6 +68,15 @@ def _damped(c: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The k largest of each row, of equal ones the first."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosine, near, 1).min(axis=1)
+    for i in np.flatnonzero((cosine >= least[:, None]).sum(axis=1) > k):
+        near[i] = np.argsort(-cosine[i], kind="stable")[:k]
+    return near
+
+
 @dataclass(frozen=True)
 class Voters:
     projection: np.ndarray
@@ -83,7 +95,7 @@ class Voters:
             z /= np.maximum(1e-12, np.linalg.norm(z, axis=1, keepdims=True))
             cosine = z @ self.vectors.T
             k = min(self.neighbours, len(self.label))
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            near = _nearest(cosine, k)
             vote = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6).astype(float) ** self.sharpness * self.weight[near]
             out[some] = (vote * self.label[near]).sum(axis=1) / vote.sum(axis=1)
         return np.clip(out, 0, 1)
@@ -108,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     total = {r["__label"]: r["count"] for r in ids.groupBy("__label").count().collect()}
     share = total.get(1, 0) / sum(total.values()) if total else 1.0
     parts = [ids.where(F.col("__label") == x).orderBy(F.xxhash64(id_col), id_col).limit(most_labelled) for x in (0, 1)]
-    picked = docs.select(id_col, text).join(F.broadcast(parts[0].unionByName(parts[1])), id_col)
+    picked = one_text(docs.select(id_col, text).join(F.broadcast(parts[0].unionByName(parts[1])), id_col), id_col, text)
 
     def run(batches):
         for b in batches:
@@ -116,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
                 c = term_counts(part)
                 yield pa.RecordBatch.from_arrays([b.column("__label").slice(at, len(part)), pa.array([x.tobytes() for x in c], pa.binary())], names=["__label", "c"])
 
-    got = picked.select(text, "__label").mapInArrow(run, "__label int, c binary").toPandas().sort_values(["c", "__label"], kind="stable")
+    got = picked.mapInArrow(run, "__label int, c binary").toPandas().sort_values(["c", "__label"], kind="stable")
     counts = np.frombuffer(b"".join(got["c"]), np.float32).reshape(-1, DIM)
     return fit(counts, got["__label"].to_numpy(), share, **how)
 

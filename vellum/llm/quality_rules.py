@@ -5,9 +5,11 @@ smallest by hash of the id), with histograms, logistic loss and monotonic constr
 then five NumPy arrays (feature, threshold, children, value); a batch of documents walks all
 trees level by level. Statistics cover whole texts; scoring is one pass without a shuffle.
 
-Cases: null and empty texts have no words and fail the base rules; with no usable label, or labels of one
-kind, the trees accept everything that passes the base rules; rows repeated in the labels count once (the
-lower label); repeated rows each come back; an empty table gives an empty one.
+Cases: null and empty texts have no words and fail the base rules; very long texts are counted whole, one part of a
+batch each; with no usable label (0 or 1), or labels of one kind, the trees accept everything that passes the base rules; an id
+repeated in the labels counts once (the lower label), in the documents once (the least text); scores that tie with the threshold
+are kept; repeated rows each come back; an empty table gives an empty one. Extra columns are carried along unless a
+result column has the same name, which then replaces it.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import types as T
 
 from . import docstats
 from . import textkernel as K
+from .common import one_text
 
 #: Features, each with its constraint: the score may only fall (-1) as it rises, or is free (0).
 FEATURES = {"symbols_per_word": -1, "repeat_share": -1, "same_share": -1, "dup_line_share": -1, "upper_share": -1, "short_share": -1, "digit_share": 0, "stops_per_word": 0, "word_length": 0, "words_per_line": 0, "log_words": 0}
@@ -109,11 +112,11 @@ def _arrays(nodes: list) -> tuple[np.ndarray, ...]:
     return tuple(np.array([n[i] for n in nodes], kind) for i, kind in enumerate((int, float, int, int, float)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label: str, rows: int) -> DataFrame:
-    """The documents of at most `rows` labelled ids, the smallest by hash; the label as __label."""
-    ids = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.min(label).cast("int").alias("__label"))
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label: str, rows: int, text: str = "text") -> DataFrame:
+    """(text, __label) of at most `rows` labelled ids, the smallest by hash: one row an id, that of the least text."""
+    ids = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.min(label).cast("int").alias("__label"))
     ids = ids.orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    return docs.join(F.broadcast(ids), id_col)
+    return one_text(docs.select(id_col, text).join(F.broadcast(ids), id_col), id_col, text)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", train_rows: int = 4000, **how) -> Forest:
@@ -122,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
             x = features(docstats.counts(K.column(b.column(text))))
             yield pa.RecordBatch.from_arrays([b.column("__label"), *map(pa.array, x.T)], names=["__label", *FEATURES])
 
-    sample = labelled_sample(docs.select(id_col, text), labels, id_col, label, train_rows).select(text, "__label")
+    sample = labelled_sample(docs, labels, id_col, label, train_rows, text)
     got = sample.mapInArrow(run, "__label int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
     got = got.sort_values(list(got.columns), kind="stable")
     return fit(got[list(FEATURES)].to_numpy(), got["__label"].to_numpy(float), list(FEATURES.values()), **how)

@@ -1,20 +1,27 @@
 """SimHash near-duplicates by a Gray-ordered hierarchical index.
 
 Fingerprint: bit i is set if over half of a text's word shingles have bit i set in their XXH64.
-Distinct fingerprints are dealt into ranges of Gray rank (neighbours there differ in few bits). A
+Fingerprints are dealt into ranges of Gray rank (neighbours there differ in few bits). A
 node stands for a run of fingerprints and holds the bits they share: mask and pattern. A
 fingerprint that differs from a pattern in more than `distance` masked bits differs from every
 member by more, so the whole run is pruned; children hold more shared bits, and the differences
-add up on the way down. The upper nodes (at most `most_groups`) are in every task and tell which
-ranges a fingerprint has to visit; each range then has its own tree down to the single members.
+add up on the way down. The upper nodes are in every task and tell which ranges a fingerprint has to visit; each range
+then has its own tree down to the single members.
 
-The search is exact. A fingerprint goes to about 1 + b + b*b/2 ranges for 2**b ranges, so traffic grows as
-the input times log squared. A range returns the edges of a star for each local component, never
-all pairs, and exact copies are one fingerprint from the start.
+A large distance leaves one Gray order little to prune. With `turns` = t the index has t orders, in each of which
+another of t blocks of the 64 bits leads; two fingerprints within d bits differ in at most d // t bits of one block, so in
+each order a run is also pruned by its differences in the leading block alone.
+
+The search is exact. A fingerprint goes to about 1 + b + b*b/2 ranges for 2**b ranges at two bits, so traffic grows as
+the input times log squared. A range of distinct fingerprints returns the edges of a star for each local component, never
+all pairs, and exact copies are one fingerprint from the start. Ranges hold about `group_size` fingerprints, and up to 16 times as
+many from 2**14 ranges on; the upper nodes take 18 bytes a range: 12 MB for 4e10 fingerprints.
 
 Cases: null, empty and blank texts have fingerprint 0 and are linked to each other and to anything within the
-distance; texts shorter than a shingle have the one shingle of all their words; null ids never name a
-component unless it has no other id; repeated rows each come back; an empty table gives an empty one.
+distance; texts shorter than a shingle have the one shingle of all their words; very long texts are one part of a batch; of
+ids that tie there is no choice, the smallest names the component; null ids never name a
+component unless it has no other id; repeated rows each come back; an empty table gives an empty one. The result has the id,
+fingerprint and component_id only, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,8 +99,11 @@ class Tree:
             cut = np.arange(0, len(low), fan)
             low, high = np.bitwise_and.reduceat(low, cut), np.bitwise_or.reduceat(high, cut)
 
-    def search(self, words: np.ndarray, distance: int, at_once: int = 2048):
-        """Yields arrays (word, lowest node) of all nodes that differ in at most `distance` shared bits."""
+    def search(self, words: np.ndarray, distance: int, lead: int = 64, lead_distance: int | None = None, at_once: int = 1024):
+        """Yields arrays (word, lowest node) of all nodes that differ in at most `distance` shared bits, and in at most
+        lead_distance of those among the `lead` highest bits."""
+        first = np.uint64((1 << 64) - (1 << 64 - lead))
+        most = distance if lead_distance is None else lead_distance
         for start in range(0, len(words), at_once):
             part = words[start : start + at_once]
             top = len(self.levels[0][0])
@@ -104,7 +114,10 @@ class Tree:
                     node = (node[:, None] * self.fan + np.arange(self.fan)).ravel()
                     real = node < len(mask)
                     word, node = word[real], node[real]
-                near = np.bitwise_count((part[word] ^ pattern[node]) & mask[node]) <= distance
+                differ = (part[word] ^ pattern[node]) & mask[node]
+                near = np.bitwise_count(differ) <= distance
+                if most < distance:
+                    near &= np.bitwise_count(differ & first) <= most
                 word, node = word[near], node[near]
             yield word + start, node
 
@@ -138,22 +151,29 @@ def _local_links(group: np.ndarray, guests: np.ndarray, distance: int) -> tuple[
     return words[moved], words[root[moved]]
 
 
-def near_links(fps: DataFrame, distance: int = 2, group_size: int = 4096, least_groups: int = 64, most_groups: int = 1 << 14) -> DataFrame:
-    """Edges (a, b) that join all fingerprints (column fp, distinct) linked at `distance` or fewer bits.
+def rotated(fp: Column, by: int) -> Column:
+    """A long with its bits turned left, so that bit 63 - by leads."""
+    return F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by)) if by else fp
 
-    Ranges number least_groups at least, so that small inputs keep all executors busy too."""
+
+def visits(fps: DataFrame, distance: int, carried: tuple[str, ...] = (), turn: int = 0, turns: int = 1, group_size: int = 4096, least_groups: int = 64) -> DataFrame:
+    """(g, guest, fp, *carried as packed 64-bit words): the fingerprints (long) that meet in range g of one Gray order: its own and
+    the guests of lower ranges. Every two fingerprints within `distance` whose leading blocks allow it meet in a range."""
     n = fps.count()
-    groups = max(least_groups, min(most_groups, -(-n // group_size)))
-    sample = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(32 * groups).toPandas().fp.to_numpy()
+    groups = max(least_groups, -(-n // group_size) if n <= group_size << 14 else max(1 << 14, -(-n // (16 * group_size))))
+    lead = (turn + 1) * 64 // turns - turn * 64 // turns
+    turned = fps.select(rotated(F.col("fp"), turn * 64 // turns).alias("fp"), *carried)
+    sample = turned.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(8 * groups).toPandas().fp.to_numpy()
     ranks = np.sort(gray_rank(sample.astype(np.int64).view(np.uint64)))
     pivots = np.unique(ranks[np.arange(1, groups) * len(ranks) // groups]) if len(ranks) else ranks
+    names = ["fp", *carried]
 
     def deal(batches):
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(pivots, gray_rank(fp.view(np.uint64)), "right").astype(np.int32)), pa.array(fp)], names=["g", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(pivots, gray_rank(fp.view(np.uint64)), "right").astype(np.int32)), *(batch.column(c) for c in names)], names=["g", *names])
 
-    dealt = written(fps.select("fp").mapInArrow(deal, "g int, fp long"), "gray")
+    dealt = written(turned.mapInArrow(deal, "g int, " + ", ".join(f"{c} long" for c in names)), "gray")
     nodes = dealt.groupBy("g").agg(F.bit_and("fp").alias("low"), F.bit_or("fp").alias("high")).orderBy("g").toPandas()
     number = nodes.g.to_numpy()
     upper = Tree(nodes.low.to_numpy(np.int64).view(np.uint64), nodes.high.to_numpy(np.int64).view(np.uint64)) if len(nodes) else None
@@ -163,24 +183,39 @@ def near_links(fps: DataFrame, distance: int = 2, group_size: int = 4096, least_
         K.lean()
         for batch in (b for b in batches if b.num_rows):
             fp, own = batch.column("fp").to_numpy(), batch.column("g").to_numpy()
-            visits = [(number[node], word) for word, node in upper.search(fp.view(np.uint64), distance)]
-            to, word = (np.concatenate(x) for x in zip(*visits, strict=True)) if visits else (own[:0], own[:0])
+            found = [(number[node], word) for word, node in upper.search(fp.view(np.uint64), distance, lead, distance // turns)]
+            to, word = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (own[:0], own[:0])
             take = to >= own[word]
             to, word = to[take], word[take]
             key = 2 * to.astype(np.int64) + (to > own[word])
             order = np.argsort(key, kind="stable")
             key, word = key[order], word[order]
             cut = np.flatnonzero(np.diff(key, prepend=-1))
-            packed = [fp[x].tobytes() for x in np.split(word, cut[1:])] if len(cut) else []
-            yield pa.RecordBatch.from_arrays([pa.array((key[cut] >> 1).astype(np.int32)), pa.array(packed, pa.binary()), pa.array((key[cut] & 1) == 1)], names=["g", "fps", "guest"])
+            packed = [pa.array([col[x].tobytes() for x in np.split(word, cut[1:])] if len(cut) else [], pa.binary()) for col in (batch.column(c).to_numpy() for c in names)]
+            yield pa.RecordBatch.from_arrays([pa.array((key[cut] >> 1).astype(np.int32)), pa.array((key[cut] & 1) == 1), *packed], names=["g", "guest", *names])
+
+    return dealt.mapInArrow(route, "g int, guest boolean, " + ", ".join(f"{c} binary" for c in names))
+
+
+def met(table: pa.Table, column: str) -> tuple[np.ndarray, int]:
+    """A packed column of visits() of one range: own values first; and how many are own."""
+    own, guests = (b"".join(table.filter(pc.equal(table.column("guest"), x)).column(column).to_pylist()) for x in (False, True))
+    return np.frombuffer(own + guests, np.int64), len(own) // 8
+
+
+def near_links(fps: DataFrame, distance: int = 2, group_size: int = 4096, least_groups: int = 64) -> DataFrame:
+    """Edges (a, b) that join all fingerprints (column fp, distinct) linked at `distance` or fewer bits.
+
+    Ranges number least_groups at least, so that small inputs keep all executors busy too."""
 
     def link(table: pa.Table) -> pa.Table:
         K.lean()
-        both = [b"".join(table.filter(pc.equal(table.column("guest"), x)).column("fps").to_pylist()) for x in (False, True)]
-        a, b = _local_links(*(np.frombuffer(x, np.uint64) for x in both), distance)
+        words, own = met(table, "fp")
+        words = words.view(np.uint64)
+        a, b = _local_links(words[:own], words[own:], distance)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return dealt.mapInArrow(route, "g int, fps binary, guest boolean").groupBy("g").applyInArrow(link, "a long, b long")
+    return visits(fps, distance, group_size=group_size, least_groups=least_groups).groupBy("g").applyInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, distance: int = 2, seed: int = 42) -> DataFrame:
@@ -195,20 +230,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return prints.join(named, "fp").select(id_col, F.col("fp").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, distance: int = 2) -> DataFrame:
-    """`docs` with the row of smallest id of each component. Rows without an id stay only where
-    their component has none, one for each fingerprint; of rows that share the chosen id, one stays."""
-    found = near_duplicates(docs, id_col, text, size, distance)
-    leaves = written(found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct(), "leaves")
-    lone = found.where(f"{id_col} is null and component_id is null").limit(1).count()
-    stays = docs.where(F.col(id_col).isNotNull()).join(leaves, id_col, "left_anti").dropDuplicates([id_col])
-    if not lone:
-        return stays.select(docs.columns)
-    prints = with_fingerprint(docs.where(F.col(id_col).isNull()).withColumn("__vellum_text", F.col(text)), "__vellum_text", size)
-    rest = found.where(f"{id_col} is null and component_id is null").select(F.col("fingerprint").alias(FP)).distinct()
-    return stays.select(docs.columns).unionByName(prints.join(rest, FP, "left_semi").dropDuplicates([FP]).select(docs.columns))
-
-
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = near_duplicates(docs)
