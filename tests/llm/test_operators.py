@@ -1,10 +1,12 @@
 """Operators against brute force, on tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -325,6 +327,35 @@ def test_sharding_draws_are_uniform():
     rng = np.random.default_rng(0)
     big = [sharding.hypergeometric(rng, 4 * 10**9, 6 * 10**9, 1000) for _ in range(300)]
     assert abs(np.mean(big) - 400) < 4 and 12 < np.std(big) < 19
+    huge = np.array([sharding.hypergeometric(rng, 4 * 10**12, 6 * 10**12, 10**9) for _ in range(300)])
+    assert abs(huge.mean() - 4e8) < 4 * 15492 / 300**0.5 and 0.85 < huge.std() / 15492 < 1.15
+
+
+def test_hypergeometric_law():
+    """All probabilities of small draws, against counting."""
+    rng = np.random.default_rng(1)
+    for good, bad, sample in ((3, 4, 2), (5, 2, 5), (1, 1, 1), (6, 6, 6), (0, 4, 2), (4, 0, 2), (7, 3, 0)):
+        all_ = math.comb(good + bad, sample)
+        got = Counter(sharding.hypergeometric(rng, good, bad, sample) for _ in range(4000))
+        for k in range(sample + 1):
+            p = math.comb(good, k) * math.comb(bad, sample - k) / all_ if sample - k <= bad else 0
+            assert abs(got[k] / 4000 - p) <= 4.5 * (p * (1 - p) / 4000) ** 0.5
+
+
+def test_sharding_units(spark):
+    """Many units in two levels: exact sums, and the driver sees groups only; nested columns and equal rows keep their values."""
+    units = spark.range(100_000).select(F.col("id").alias(sharding.UNIT), (F.col("id") % 5).alias("n"))
+    sizes = [200_000 // 7 + (k < 200_000 % 7) for k in range(7)]
+    got = sharding.plan_units(units, 7, sizes, 3, most_groups=50).toPandas()
+    counts, start = np.array(got["counts"].tolist()), np.array(got["start"].tolist())
+    assert len(got) == 100_000 and (counts.sum(axis=1) == got[sharding.UNIT] % 5).all() and counts.sum(axis=0).tolist() == sizes
+    for k in range(7):
+        order = np.lexsort((counts[:, k], start[:, k]))
+        assert (np.cumsum(counts[order, k])[:-1] == start[order, k][1:]).all()
+    df = spark.range(500).select(F.lit(1).alias("a"), F.array(F.col("id") % 3).alias("list"), F.lit("x").alias("shard"), F.struct("id").alias("slot"))
+    out = sharding.shuffle_into_shards(df.repartition(3), shards=4, cell_rows=20, unit_rows=16).collect()
+    assert Counter(tuple(r["list"]) for r in out) == {(0,): 167, (1,): 167, (2,): 166}
+    assert sorted((r.shard, r.slot) for r in out) == [(k, i) for k in range(4) for i in range(125)]
 
 
 def test_top_products(spark):
@@ -342,6 +373,23 @@ def test_top_products(spark):
     assert topk_search.top_products(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_top_products_beyond_53_bits(spark):
+    """Exact whole-number products where floats round, where longs wrap and where 64 * x overflows; a query row that occurs twice."""
+    rng = random.Random(5)
+    size = lambda: rng.choice([1.0, 1e7, 3e7, 1e10, 1e17])
+    vectors = [(i, [rng.uniform(-1, 1) * size() for _ in range(2)]) for i in range(60)]
+    vectors += [(100, [1e7 + 0.5, 3.0]), (101, [1e7 + 1.3, 9.0]), (102, [1e308, -1e308]), (103, [-1e308, 1.0]), (104, [0.0, 0.0]), (100, [1e7 + 0.5, 3.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    whole = lambda v: [max(-(10**300), min(10**300, math.floor(Fraction(x) * 64))) for x in v]
+    expected = []
+    for q, v in (x for x in vectors if x[0] % 20 == 0):
+        scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole(v), whole(w), strict=True)))), i) for i, w in vectors if i != q)
+        expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:20])]
+    assert (100, -409600073600113248) in {(q, s) for q, _, i, s in expected if i == 101} or (101, 409600073600113248) in {(i, s) for q, _, i, s in expected if q == 100}
+    for how in ({}, {"block_rows": 8, "query_rows": 2, "seeds": 5, "group_blocks": 1, "coordinate_from": 0.2}):
+        same([tuple(r) for r in topk_search.top_products(df, F.col("id") % 20 == 0, **how).collect()], expected)
+
+
 def pages(rng):
     urls = ["http://a.b/x", "https://www.q.com:80/?b=1&a=2#z", "x\ny", "", None, "http://[bad"]
     htmls = [None, "", "é" * 60, "a" * 99, "a" * 100, "b\r\n\r\nWARC/1.0\r\n\r\n" * 20, "z" * 200_000]
