@@ -1,5 +1,6 @@
 """Operators against brute force, on tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -422,6 +423,18 @@ def test_warc(spark):
     assert warc.merge_index(warc.read_archives(spark, empty)).count() == 0
 
 
+def test_archives_are_inflated_piece_by_piece():
+    blocks = [b"", b"x" * 300_000, "é\r\n\r\nWARC/1.1\r\n".encode() * 40, bytes(range(256)) * 900]
+    records = [b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in blocks]
+    starts = [sum(map(len, records[:i])) for i in range(len(records))]
+    for data in (gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))):
+        assert [(at, block) for at, _, block in warc.parse(memoryview(data))] == list(zip(starts, blocks, strict=True))
+    for data in (gzip.compress(records[1][:-2]), gzip.compress(records[0] + b"WARC/1.1"), gzip.compress(b"HTTP/1.1\r\n\r\n")):
+        with pytest.raises(ValueError):
+            list(warc.parse(memoryview(data)))
+    assert list(warc.parse(memoryview(gzip.compress(b"")))) == []
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for _ in range(200):

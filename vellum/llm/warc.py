@@ -2,28 +2,31 @@
 
 Writing: each page is one record. Of pages with equal payloads of at least `least` bytes, the one with the
 smallest id is a `response`, the others are `revisit` records that name it and have no payload; smaller payloads are all
-responses. Spark writes the records as text files with CRLF CRLF between them, gzipped, `records_per_file` at
-most in each, so archives go to any file system that Spark can write.
+responses. Spark writes the records as text files with CRLF CRLF between them, gzipped, so archives go to any file
+system that Spark can write. A file is one gzip member; places are offsets in the archive as inflated. Files hold
+`records_per_file` records at most, and fewer where pages are large: about `file_bytes` by their mean size.
 
-Reading: each archive is parsed by its Content-Length fields; the payload's length and SHA-256 are computed from the
-bytes read, for a revisit they come from its header. The captures of an archive, sorted by URL key, time, id and place,
-are a run. Runs are cut at common key ranges, and each range merges its runs with a loser tree; the
-ranges in order are the global history. Range limits come from a bounded sample of keys and hold the
-place in the archive too, so a hot host, URL or repeated row spreads over ranges.
+Reading: each archive is inflated piece by piece and parsed by its Content-Length fields, so a task holds the compressed archive,
+one record and the archive's entries; the payload's length and SHA-256 are computed from the bytes read, for a revisit they come
+from its header. The captures of an archive, sorted by URL key, time, id and place, are a run, numbered in that order.
+Spark cuts all runs at common key ranges and lays each range out run by run in the runs' own order; a loser tree merges the
+runs of a range, and the ranges in order are the global history. The range key ends with the place in the archive, so a
+hot host, URL or repeated row spreads over ranges; the driver holds one row count a range.
 
 Payload groups are pre-aggregated by digest; a page meets its group in a join that adaptive execution may split.
 
 Cases: null html is an empty payload; a null url is an empty one, line breaks in it are percent-encoded; null page ids are
 kept, never named by a revisit, and revisit a page with an id where there is one; rows with the same id and payload are
-all responses if that id is the smallest; repeated rows each come back; an empty table gives empty archives and index. Other
-columns are ignored.
+all responses if that id is the smallest; repeated rows each come back, ordered by archive and place; very long pages are
+records like others; an empty table gives empty archives and index. Other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-from bisect import bisect_right
+import zlib
+from collections.abc import Iterator
+from itertools import groupby, islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -69,25 +72,64 @@ def records(typed: DataFrame, start: str = "2024-01-01 00:00:00") -> DataFrame:
     return typed.select(F.concat(F.concat_ws("\r\n", *lines, more, *tail), F.lit("\r\n\r\n"), block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 100, records_per_file: int = 2000) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = 100, records_per_file: int = 2000, file_bytes: int = 64 << 20) -> None:
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    records_per_file = max(1, min(records_per_file, int(file_bytes / (mean + 1000))))
     records(with_types(pages, least)).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse(data: bytes):
-    """(offset, headers, block) of each record of an archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = data[at:end].decode().split("\r\n")
-        if not head[0].startswith("WARC/"):
+class _Inflated:
+    """The bytes of a gzip file, inflated as they are read."""
+
+    def __init__(self, data: memoryview, step: int = 1 << 16):
+        self.data, self.step, self.next, self.at = data, step, 0, 0
+        self.inflate, self.held = zlib.decompressobj(31), bytearray()
+
+    def _more(self) -> bool:
+        if self.inflate.eof and (rest := self.inflate.unused_data or bytes(self.data[self.next : self.next + self.step])):
+            self.next += 0 if self.inflate.unused_data else len(rest)
+            self.inflate = zlib.decompressobj(31)
+        elif rest := self.inflate.unconsumed_tail or bytes(self.data[self.next : self.next + self.step]):
+            self.next += 0 if self.inflate.unconsumed_tail else len(rest)
+        else:
+            return False
+        self.held += self.inflate.decompress(rest, 16 * self.step)
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What comes before the mark, which is passed too; None at the end."""
+        seen = 0
+        while (end := self.held.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.held)
+            if not self._more():
+                if self.held:
+                    raise ValueError(f"cut off at byte {self.at}")
+                return None
+        return self.take(end + len(mark))[:end]
+
+    def take(self, size: int) -> bytes:
+        while len(self.held) < size:
+            if not self._more():
+                raise ValueError(f"cut off at byte {self.at}")
+        out = bytes(self.held[:size])
+        del self.held[:size]
+        self.at += size
+        return out
+
+
+def parse(data: memoryview) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, headers, block) of each record of a gzipped archive."""
+    source = _Inflated(data)
+    while (at := source.at, head := source.until(b"\r\n\r\n"))[1] is not None:
+        first, *lines = head.decode().split("\r\n")
+        if not first.startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
-        fields = dict(x.split(": ", 1) for x in head[1:])
-        size = int(fields["Content-Length"])
-        yield at, fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        fields = dict(x.split(": ", 1) for x in lines)
+        yield at, fields, source.take(int(fields["Content-Length"]))
+        source.take(4)
 
 
-ENTRY = "urlkey string, ts string, page_id long, archive string, place long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+ENTRY = "urlkey string, ts string, page_id long, archive string, place long, seq long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def _id(name: str) -> int | None:
@@ -108,7 +150,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content, archive in zip(batch.column("content"), batch.column("archive"), strict=True):
                 rows = []
-                for at, h, block in parse(gzip.decompress(content.as_buffer())):
+                for at, h, block in parse(memoryview(content.as_buffer())):
                     entry = {"urlkey": url_key(h["WARC-Target-URI"]), "ts": h["WARC-Date"], "page_id": _id(h["WARC-Record-ID"]), "archive": archive.as_py(), "place": at, "record_type": h["WARC-Type"], "refers_to": None}
                     if h["WARC-Type"] == "revisit":
                         entry |= {"payload_bytes": int(h["X-Payload-Length"]), "payload_digest": h["WARC-Payload-Digest"].removeprefix("sha256:"), "refers_to": _id(h["WARC-Refers-To"])}
@@ -117,7 +159,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         entry |= {"payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest()}
                     rows.append(entry)
                 if rows:
-                    yield pa.RecordBatch.from_pylist(sorted(rows, key=_order), SCHEMA)
+                    run_ = [row | {"seq": i} for i, row in enumerate(sorted(rows, key=_order))]
+                    yield pa.RecordBatch.from_pylist(run_, SCHEMA)
 
     return written(whole.mapInArrow(run, ENTRY), "runs")
 
@@ -165,35 +208,36 @@ class LoserTree:
             self.node[0] = win
 
 
-def merge_index(runs: DataFrame, range_rows: int = 20_000, most_ranges: int = 1 << 16) -> DataFrame:
+def merge_index(runs: DataFrame, range_rows: int = 20_000) -> DataFrame:
     """The entries of all runs with index_pos, their place from 0 in the global order."""
-    names = runs.columns
-    n = runs.count()
-    ranges = max(1, min(most_ranges, -(-n // range_rows)))
-    keys = ["urlkey", "ts", "page_id", "archive", "place"]
-    sample = sorted(map(_order, runs.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(32 * ranges).collect()))
-    pivots = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
-    limits = runs.sparkSession.sparkContext.broadcast(pivots)
-
-    def deal(batches):
+    spark, names = runs.sparkSession, [c for c in runs.columns if c != "seq"]
+    ranges = max(1, -(-runs.count() // range_rows))
+    keys = ["urlkey", "ts", F.col("page_id").asc_nulls_first(), "archive", "place"]
+    laid = runs.repartitionByRange(ranges, *keys).sortWithinPartitions("archive", "seq").withColumn("range", F.spark_partition_id())
+
+    def merge(batches):
+        rows, own = [], 0
+        for batch in batches:
+            rows.extend(batch.to_pylist())
+        merged = iter(LoserTree([list(run) for _, run in groupby(rows, lambda r: r["archive"])], _order))
+        while some := [row for row in islice(merged, 10_000)]:
+            yield pa.RecordBatch.from_pylist([row | {"own": own + i} for i, row in enumerate(some)], MERGED)
+            own += len(some)
+
+    merged = written(laid.mapInArrow(merge, f"{ENTRY}, range int, own long"), "merged")
+    count = {r["range"]: r["count"] for r in merged.groupBy("range").count().collect()}
+    base = spark.sparkContext.broadcast(_running(count))
+
+    def number(batches):
         for batch in batches:
-            to = [bisect_right(limits.value, _order(r)) for r in batch.select(keys).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), *batch.columns], names=["range", *names])
-
-    dealt = runs.mapInArrow(deal, f"range int, {ENTRY}")
-    count = {r["range"]: r["count"] for r in dealt.groupBy("range").count().collect()}
-    base = runs.sparkSession.sparkContext.broadcast(_running(count))
-
-    def merge(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        own: dict[str, list] = {}
-        for row in t.select(names).to_pylist():
-            own.setdefault(row["archive"], []).append(row)
-        # a run arrives in its order from one task, but a shuffle may deliver its parts in another
-        merged = list(LoserTree([sorted(r, key=_order) for _, r in sorted(own.items())], _order))
-        at = base.value[key[0].as_py()]
-        return pa.Table.from_pylist(merged, SCHEMA).append_column("index_pos", pa.array(range(at, at + len(merged)), pa.int64()))
-
-    return dealt.groupBy("range").applyInArrow(merge, f"{ENTRY}, index_pos long")
+            at = pa.array([base.value[x] + y for x, y in zip(batch.column("range").to_pylist(), batch.column("own").to_pylist(), strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), at], names=[*names, "index_pos"])
+
+    kinds = ", ".join(x for x in ENTRY.split(", ") if x != "seq long")
+    return merged.mapInArrow(number, f"{kinds}, index_pos long")
+
+
+MERGED = SCHEMA.append(pa.field("range", pa.int32())).append(pa.field("own", pa.int64()))
 
 
 def _running(count: dict[int, int]) -> dict[int, int]:
