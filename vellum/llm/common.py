@@ -35,8 +35,9 @@ def _app_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/vellum/{spark.sparkContext.applicationId}"
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return "/".join([_app_dir(spark), *_scopes, f"{name}-{uuid.uuid4().hex}"])
+def shared_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A new path in the shared folder; inside scratch() its table ends with the scope unless it is lasting."""
+    return "/".join([_app_dir(spark), *([] if lasting else _scopes), f"{name}-{uuid.uuid4().hex}"])
 
 
 def _drop(spark: SparkSession, path: str) -> bool:
@@ -60,9 +61,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _scopes.pop()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def drop(table: DataFrame) -> None:
+    """Deletes a table made by written()."""
+    for path in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
+        _drop(table.sparkSession, path)
+
+
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """The rows as a Parquet table in the shared folder, read again: lineage ends there, and lost executors cost nothing."""
-    path = shared_path(df.sparkSession, name)
+    path = shared_path(df.sparkSession, name, lasting)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
