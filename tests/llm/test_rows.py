@@ -236,6 +236,24 @@ def test_near_texts_with_a_large_group(spark):
     assert near_texts._candidates(nodes, 11, 3, 80, across=False).count() <= 300 * 6
 
 
+@pytest.mark.parametrize("bounds", [{}, {"most_texts": 10, "most_shingles": 4000}])
+def test_groups_find_all_links(spark, bounds):
+    """Links inside groups by whole sets, in one task or between blocks, against brute force."""
+    rng = np.random.default_rng(9)
+    base = [rng.integers(0, 2**62, 60, dtype=np.uint64) for _ in range(3)]
+    sets, groups = {}, {}
+    for i in range(90):
+        own = base[i % 3].copy()
+        own[rng.integers(0, 60, rng.integers(1, 9))] = rng.integers(0, 2**62)
+        sets[i], groups[i] = np.unique(own), i % 2
+    members = spark.createDataFrame([(groups[i], i, len(x)) for i, x in sets.items()], "group long, key long, n long")
+    table = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "key long, shingles binary")
+    got = near_texts._grouped_links(members, table, 80, **bounds).collect()
+    alike = lambda i, j: groups[i] == groups[j] and 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))
+    told = {(min(r), max(r)) for r in got}
+    assert components(90, lambda i, j: (j, i) in told) == components(90, alike)
+
+
 def test_gray_orders_find_all_pairs():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
