@@ -1,5 +1,6 @@
 """Each query with SQL gives the rows of its SQL; the others are held against plain Python."""
 
+import itertools
 import math
 import random
 import re
@@ -8,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from vellum.operators import grouping, pixels, service
+from vellum.operators import grouping, layout, pixels, service
 from vellum.plans.registry import ORACLE_SQL, QUERIES
 from vellum.sources import fixtures as fx
 
@@ -66,21 +67,39 @@ def test_nms_is_maximal(spark):
         assert {r.region_id for r in rows if (r.page_id, r.region_id) in kept} == {r.region_id for r in out}
 
 
-def test_merge_boxes_reaches_a_fixpoint(spark):
+def union(a, b):
+    return (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
+
+
+def merged(boxes):
+    """The rule itself: while there is a joint pair, the first in order becomes one box in the place of its first."""
+
+    def joint(pair):
+        a, b = boxes[pair[0]], boxes[pair[1]]
+        side = range(max(a[0], b[0]), min(a[2], b[2]))
+        gap = max(a[0], b[0]) - min(a[2], b[2]) if not side else 0
+        rows = len(range(max(a[1], b[1]), min(a[3], b[3])))
+        return gap < 25 and rows > 0.3 * min(a[3] - a[1], b[3] - b[1])
+
+    boxes = list(map(tuple, boxes))
+    while pair := next(filter(joint, itertools.combinations(range(len(boxes)), 2)), None):
+        boxes[pair[0]] = union(boxes[pair[0]], boxes[pair[1]])
+        boxes.pop(pair[1])
+    return [list(b) for b in boxes]
+
+
+def test_merge_boxes_follows_the_rule(spark):
     rng = random.Random(4)
-    for _ in range(100):
-        boxes = [[x, y, x + rng.randint(5, 60), y + rng.randint(5, 60)] for x, y in ((rng.randint(0, 300), rng.randint(0, 300)) for _ in range(rng.randint(0, 9)))]
-        out = grouping.merge_boxes(boxes)
-        assert grouping.merge_boxes(out) == out and len(out) <= len(boxes)
-        for b in boxes:
-            assert any(o[0] <= b[0] and o[1] <= b[1] and o[2] >= b[2] and o[3] >= b[3] for o in out)
+    for _ in range(400):
+        boxes = [[x, y, x + rng.randint(5, 60), y + rng.randint(5, 60)] for x, y in ((rng.randint(0, 300), rng.randint(0, 300)) for _ in range(rng.randint(0, 14)))]
+        assert grouping.merge_boxes(boxes) == merged(boxes)
     by_page = {}
     for r in fx.regions(spark, SF).orderBy("page_id", "region_id").collect():
         by_page.setdefault(r.page_id, []).append([r.x1, r.y1, r.x2, r.y2])
     got = {}
     for r in QUERIES["box_merge_fixpoint"](spark, SF).orderBy("page_id", "box_id").collect():
         got.setdefault(r.page_id, []).append([r.x1, r.y1, r.x2, r.y2])
-    assert got == {p: grouping.merge_boxes(b) for p, b in by_page.items()}
+    assert got == {p: merged(b) for p, b in by_page.items()}
 
 
 def test_recovery_keeps_accepted_items(spark):
@@ -90,6 +109,31 @@ def test_recovery_keeps_accepted_items(spark):
     assert len({(r.page_id, m) for r in rows for m in r.members.split(",")}) == sum(len(r.members.split(",")) for r in rows)
 
 
+def test_recovery_follows_the_rules():
+    """Hand-made pages: what each rule decides, at its limits."""
+    item = lambda i, box, reason=None, bubble=-1, fragment=True, short=False: dict(zip(layout.BOX, box, strict=True), region_id=i, reason=reason, bubble_idx=bubble, fragment=fragment, short=short)
+    found = lambda *items: {r["region_id"]: ([r[c] for c in layout.BOX], r["members"], r["source"]) for r in layout._recover(list(items))}
+    column = item(0, (100, 100, 140, 200))
+    merged_ = lambda box, ids: {0: (box, ids, "+".join(["adjacent_fragment_merged"] * (len(ids) - 1)))}
+    alone = {0: ([100, 100, 140, 200], [0], None)}
+    # int(100 * 1.15), 114 pixels apart, is the limit for two boxes of height 100
+    assert found(column, item(1, (254, 100, 280, 200), "x")) == merged_([100, 100, 280, 200], [0, 1])
+    assert found(column, item(1, (255, 100, 280, 200), "x")) == alone
+    # no floating fragment, one in a bubble, none accepted
+    assert found(column, item(1, (150, 100, 180, 200), "x", fragment=False)) == alone
+    assert found(column, item(1, (150, 100, 180, 200), "x", bubble=3)) == alone
+    assert found(item(1, (150, 100, 180, 200), "x")) == {}
+    assert found(item(0, (100, 100, 140, 200), bubble=2), item(1, (150, 100, 180, 200), "x")) == {0: ([100, 100, 140, 200], [0], None)}
+    # a short one becomes an item of its own, and later fragments meet it
+    assert found(column, item(1, (240, 100, 280, 200), "x", short=True), item(2, (380, 100, 400, 200), "x")) == {**alone, 1: ([240, 100, 400, 200], [1, 2], "adjacent_short_dialogue+adjacent_fragment_merged")}
+    # a grown box reaches further; a wide one is no column to stand beside
+    assert found(item(0, (100, 100, 221, 200)), item(1, (230, 100, 250, 200), "x")) == {0: ([100, 100, 221, 200], [0], None)}
+    # the nearest of two takes it, of equal ones the first
+    near, far = item(5, (200, 100, 230, 200)), item(6, (300, 100, 330, 200))
+    assert found(near, far, item(7, (240, 100, 280, 200), "x"))[5][1] == [5, 7]
+    assert found(near, far, item(7, (240, 100, 290, 200), "x"))[5][1] == [5, 7]
+
+
 @pytest.fixture(scope="module")
 def log(spark):
     rng = random.Random(7)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -58,24 +59,30 @@ def overwide_chunks(grouped: DataFrame) -> DataFrame:
     return df.select("page_id", "group_id", "region_id", F.when(F.when(F.col("n") >= 4, cut).otherwise(False), F.when(lone, chunk - 1).otherwise(chunk)).otherwise(0).cast("int").alias("chunk"))
 
 
+def _joint(boxes: np.ndarray, one: np.ndarray, gap: int, share: float) -> np.ndarray:
+    """Which of the boxes stand beside one of them: nearer than gap across, and sharing rows of the lower of the two."""
+    low, high = np.maximum(boxes[:, :2], one[:2]), np.minimum(boxes[:, 2:], one[2:])
+    height = np.minimum(boxes[:, 3] - boxes[:, 1], one[3] - one[1])
+    return (low[:, 0] - high[:, 0] < gap) & (np.maximum(0, high[:, 1] - low[:, 1]) > share * height)
+
+
 def merge_boxes(boxes: list[list[int]], gap: int = 25, share: float = 0.3) -> list[list[int]]:
-    """Boxes side by side grow together until none is left to join; the first joint pair goes first each time."""
-    boxes, again = [list(b) for b in boxes], True
-    while again:
-        again = False
-        for i, a in enumerate(boxes):
-            for j in range(i + 1, len(boxes)):
-                b = boxes[j]
-                beside = max(0, max(a[0], b[0]) - min(a[2], b[2]))
-                shared = max(0, min(a[3], b[3]) - max(a[1], b[1]))
-                if beside < gap and shared > share * min(a[3] - a[1], b[3] - b[1]):
-                    boxes[i] = [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
-                    del boxes[j]
-                    again = True
-                    break
-            if again:
-                break
-    return boxes
+    """Boxes side by side grow together until no two are joint; the first joint pair, by the first box and then the second, goes
+    first each time, and the second box of a pair is taken into the first.
+
+    Boxes before `focus` are joint with none. When a box has grown only its own pairs are new, so its first neighbour
+    before it takes it in and becomes the focus, else it takes in its first neighbour after it."""
+    left, focus = np.array(boxes, np.int64).reshape(-1, 4), 0
+    while focus < len(left):
+        near = np.flatnonzero(_joint(left, left[focus], gap, share))
+        near = near[near != focus]
+        if not len(near):
+            focus += 1
+            continue
+        first, second = sorted((focus, int(near[0])))
+        left[first] = *np.minimum(left[first, :2], left[second, :2]), *np.maximum(left[first, 2:], left[second, 2:])
+        left, focus = np.delete(left, second, axis=0), first
+    return left.tolist()
 
 
 def merged_boxes(boxes: DataFrame) -> DataFrame:

@@ -13,12 +13,15 @@ REGIONS = """fx_regions AS (SELECT CAST(l_orderkey AS BIGINT) AS page_id,
   round(l_discount * 10, 2) AS score, CAST(l_quantity AS INT) AS txt_len, 800 AS img_w, 1200 AS img_h
 FROM lineitem)"""
 
-_LOW = "lower(substr(d.text, 1 + k.k * 40, 2 + CAST((d.doc_id + k.k * 7) % 29 AS INT)))"
-TEXTS = f"""fx_texts AS (SELECT d.doc_id AS page_id, CAST(k.k AS INT) AS region_id,
-  CASE WHEN d.doc_id % 6 = 5 THEN substr(d.text, 1 + k.k * 40, 2 + CAST((d.doc_id + k.k * 7) % 29 AS INT))
-    ELSE translate({_LOW}, 'abcdefghijklmnopqrstuvwxyz', CASE d.doc_id % 6
+_FIRST = "CAST(2 + (doc_id + k // 2 * 7) % 29 AS INT)"
+TEXTS = f"""fx_items AS (SELECT doc_id, k, substr(text, CAST(begin_at AS INT), size) AS t FROM (
+  SELECT *, 1 + k // 2 * 32 + CASE WHEN k % 2 = 0 THEN 0 ELSE {_FIRST} END AS begin_at, CASE WHEN k % 2 = 0 THEN {_FIRST} ELSE 32 - {_FIRST} END AS size
+  FROM (SELECT doc_id, text, coalesce(length(text), 0) AS n, unnest(range(0, greatest(1, (coalesce(length(text), 0) + 31) // 32) * 2)) AS k FROM documents)) WHERE k = 0 OR begin_at <= n),
+fx_texts AS (SELECT doc_id AS page_id, CAST(k AS INT) AS region_id,
+  CASE WHEN doc_id % 6 = 5 THEN t
+    ELSE translate(lower(t), 'abcdefghijklmnopqrstuvwxyz', CASE doc_id % 6
       WHEN 0 THEN '{PROFILES[0]}' WHEN 1 THEN '{PROFILES[1]}' WHEN 2 THEN '{PROFILES[2]}' WHEN 3 THEN '{PROFILES[3]}' ELSE '{PROFILES[4]}' END) END AS text
-FROM documents d CROSS JOIN (VALUES (0),(1),(2),(3)) AS k(k))"""
+FROM fx_items)"""
 
 BUBBLES = """fx_bubbles AS (SELECT o.o_orderkey AS page_id, CAST(b.b AS INT) AS bubble_id,
   CAST((o.o_custkey * 29 + b.b * 350) % 600 AS INT) AS x1, CAST((o.o_custkey * 13 + b.b * 500) % 800 AS INT) AS y1,

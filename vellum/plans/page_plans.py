@@ -38,7 +38,7 @@ def _bodies(spark, d):
     return pages.select("page_id", "provider", F.when(F.col("page_id") % 3 == 0, chat).otherwise(plain).alias("body"))
 
 
-_SAID = "concat('There are lots of (odd) things that really do not know. It is the end of ', left(regexp_replace(text, '[^A-Za-z .,]', ' '{g}), 10 + CAST(page_id % 90 AS INT)))"
+_SAID = "concat('There are lots of (odd) things that really do not know. It is the end of ', regexp_replace(text, '[^A-Za-z .,]', ' '{g}))"
 
 _WHOLE = "concat('There are lots of (odd) things that really do not know. It is the end of ', regexp_replace(text, '[^A-Za-z .,]', ' '))"
 

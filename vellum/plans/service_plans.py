@@ -91,7 +91,7 @@ def _lines(fold: str) -> str:
 
 
 _AW, _AH = "greatest(1, w - 16)", "greatest(1, h - 16)"
-_CLEAN = squeeze("left(text, CAST(30 + doc_id % 200 AS INT))")
+_CLEAN = squeeze("text")
 
 
 def _few(n: int) -> str:
@@ -125,11 +125,11 @@ SELECT event_id, joined FROM r""",
     "cache_miss": "SELECT o_orderkey AS key, CASE WHEN o_custkey % 3 = 0 THEN 'ko' ELSE 'ja' END AS language FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0",
     "status_warnings": f"WITH {REGIONS}, s AS (SELECT page_id, (page_id + txt_len) % 5 AS k FROM fx_regions) SELECT page_id, string_agg(DISTINCT CASE k WHEN 1 THEN 'clipped' WHEN 2 THEN 'missing' ELSE 'emergency' END, ',' ORDER BY CASE k WHEN 1 THEN 'clipped' WHEN 2 THEN 'missing' ELSE 'emergency' END) AS statuses FROM s WHERE k IN (1, 2, 4) GROUP BY page_id",
     "wrap_lines": f"WITH {TEXTS}, f AS (SELECT page_id, region_id, {_wrap_fold(_WORDS.format(t=squeeze('text')), 'CAST(4 + page_id % 9 AS INT)')} AS f FROM fx_texts) SELECT page_id, region_id, array_to_string({_lines('f')}, '|') AS lines FROM f",
-    "fit_font": f"""WITH {REGIONS}, i AS (SELECT r.page_id, r.region_id, {_AW.replace("w", "(x2 - x1)", 1).replace("greatest(1, (x2 - x1)", "greatest(1, (x2 - x1)")} AS aw, {_AH.replace("h ", "(y2 - y1) ")} AS ah, string_split({squeeze("left(d.text, 160)")}, ' ') AS ws FROM fx_regions r JOIN documents d ON d.doc_id = r.page_id),
+    "fit_font": f"""WITH {REGIONS}, i AS (SELECT r.page_id, r.region_id, {_AW.replace("w", "(x2 - x1)", 1).replace("greatest(1, (x2 - x1)", "greatest(1, (x2 - x1)")} AS aw, {_AH.replace("h ", "(y2 - y1) ")} AS ah, string_split({squeeze("d.text")}, ' ') AS ws FROM fx_regions r JOIN documents d ON d.doc_id = r.page_id),
 s AS (SELECT *, unnest(range(7, greatest(7, CAST(floor(least(ah * 0.48::DOUBLE, aw * 0.42::DOUBLE, 56)) AS INT)) + 1)) AS size FROM i), m AS (SELECT *, CAST(floor(aw / (size * 0.6::DOUBLE)) AS INT) AS chars FROM s),
-f AS (SELECT *, {_wrap_fold("ws", "greatest(1, chars)")} AS f FROM m), n AS (SELECT page_id, region_id, size, chars, ah, len({_lines("f")}) AS n FROM f)
+f AS (SELECT *, {_wrap_fold("ws", "greatest(1, chars)")} AS f FROM m WHERE size = 7 OR floor(ah / ceil(size * 1.2::DOUBLE)) * (chars + 1) > length(array_to_string(ws, ' '))), n AS (SELECT page_id, region_id, size, chars, ah, len({_lines("f")}) AS n FROM f)
 SELECT page_id, region_id, CAST(size AS INT) AS font_size, CAST(n AS INT) AS n_lines FROM n QUALIFY row_number() OVER (PARTITION BY page_id, region_id ORDER BY CASE WHEN chars >= 1 AND n * ceil(size * 1.2::DOUBLE) <= ah THEN -size ELSE size END) = 1""",
-    "position_candidates": f"""WITH {REGIONS}, k AS (SELECT page_id, region_id, x1 AS l, y1 AS t, x2 AS r, y2 AS b, CAST(20 + page_id % 50 AS INT) AS bw, CAST(10 + page_id % 40 AS INT) AS bh, (x1 + x2) / 2 AS ax, y1 + 30.0::DOUBLE AS ay, x2 - 10.0::DOUBLE AS gx, (y1 + y2) / 2 AS gy FROM fx_regions WHERE region_id < 2),
+    "position_candidates": f"""WITH {REGIONS}, k AS (SELECT page_id, region_id, x1 AS l, y1 AS t, x2 AS r, y2 AS b, CAST(20 + page_id % 50 AS INT) AS bw, CAST(10 + page_id % 40 AS INT) AS bh, (x1 + x2) / 2 AS ax, y1 + 30.0::DOUBLE AS ay, x2 - 10.0::DOUBLE AS gx, (y1 + y2) / 2 AS gy FROM fx_regions),
 p AS (SELECT *, greatest(2, least(bw, bh) // 10) AS st FROM k WHERE r - bw >= l AND b - bh >= t),
 a AS (SELECT page_id, region_id, [{_NEAR}] AS near, {_axis("l", "(r - bw)", "bw")} AS xs, {_axis("t", "(b - bh)", "bh")} AS ys FROM p),
 u AS (SELECT page_id, region_id, unnest(near) AS q FROM a UNION ALL SELECT page_id, region_id, {{'x': x, 'y': y}} FROM (SELECT page_id, region_id, unnest(xs) AS x, ys FROM a), LATERAL (SELECT unnest(ys) AS y))

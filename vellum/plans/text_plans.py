@@ -94,6 +94,6 @@ SQL = {
     "clean_markup": f"SELECT page_id, md5({_MARKUP}) AS text_md5, CAST(length({_MARKUP}) AS INT) AS n_chars FROM pages",
     "valid_translation": f"WITH {RESPONSES}, {VALIDATED} SELECT page_id, region_id, provider, valid FROM validated",
     "fast_hash": f"SELECT page_id, {hash_sql('url')} AS url_hash FROM pages",
-    "cache_id": f"SELECT page_id, concat_ws(':', 'v1', 'ja', {hash_sql('url')}, {hash_sql('left(html, 300)')}) AS cache_id FROM pages",
+    "cache_id": f"SELECT page_id, concat_ws(':', 'v1', 'ja', {hash_sql('url')}, {hash_sql("coalesce(html, '')")}) AS cache_id FROM pages",
     "language_hint": "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'ko' WHEN 5 THEN 'ko' WHEN 1 THEN 'zh' WHEN 2 THEN 'zh' ELSE 'ja' END AS language FROM documents",
 }
