@@ -47,15 +47,15 @@ def turns_to_log(turns: DataFrame, piece: int = 512) -> DataFrame:
     the role, then the text in deltas of `piece` code points. Every third message is a draft (the text backwards)
     that an edit replaces after the next message has begun; every third is a draft that is regenerated."""
     numbered = turns.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long").alias("msg_id"))
+    cut = lambda text: F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+    numbered = numbered.select("*", cut(F.col("text")).alias("pieces"), F.when(F.col("msg_id") % 3 != 0, cut(F.reverse("text"))).alias("draft"))
     event = lambda late, step, kind, role, text: F.struct(F.struct((F.col("msg_id") + late).alias("message"), step.cast("long").alias("step")).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
-    none = F.lit(None).cast("string")
-    count = F.greatest(F.ceil(F.length("text") / F.lit(piece)).cast("int"), F.lit(1))
-    said = lambda text, after: F.transform(F.sequence(F.lit(1), count), lambda i: event(0, i + after, "delta", none, F.substring(text, (i - 1) * piece + 1, F.lit(piece))))
+    none, count = F.lit(None).cast("string"), F.size("pieces")
+    said = lambda pieces, after: F.transform(pieces, lambda x, i: event(0, i + 1 + after, "delta", none, x))
     opened = F.array(event(0, F.lit(0), "message", F.col("role"), F.lit("")))
-    draft = F.reverse("text")
-    edited = F.concat(opened, said(draft, 0), F.array(event(1, count + 1, "edit", none, F.col("text"))))
-    anew = F.concat(opened, said(draft, 0), F.array(event(0, count + 1, "regenerate", none, none)), said(F.col("text"), count + 1))
-    events = F.when(F.col("msg_id") % 3 == 1, edited).when(F.col("msg_id") % 3 == 2, anew).otherwise(F.concat(opened, said(F.col("text"), 0)))
+    edited = F.concat(opened, said("draft", 0), F.array(event(1, count + 1, "edit", none, F.col("text"))))
+    anew = F.concat(opened, said("draft", 0), F.array(event(0, count + 1, "regenerate", none, none)), said("pieces", count + 1))
+    events = F.when(F.col("msg_id") % 3 == 1, edited).when(F.col("msg_id") % 3 == 2, anew).otherwise(F.concat(opened, said("pieces", 0)))
     return numbered.select("conv_id", "msg_id", F.explode(events).alias("e")).select("conv_id", "msg_id", "e.seq", "e.kind", "e.role", "e.text")
 
 
