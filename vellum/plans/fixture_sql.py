@@ -15,8 +15,8 @@ FROM lineitem)"""
 
 _FIRST = "CAST(2 + (doc_id + k // 2 * 7) % 29 AS INT)"
 TEXTS = f"""fx_items AS (SELECT doc_id, k, substr(text, CAST(begin_at AS INT), size) AS t FROM (
-  SELECT *, 1 + k // 2 * 32 + CASE WHEN k % 2 = 0 THEN 0 ELSE {_FIRST} END AS begin_at, CASE WHEN k % 2 = 0 THEN {_FIRST} ELSE 32 - {_FIRST} END AS size
-  FROM (SELECT doc_id, text, coalesce(length(text), 0) AS n, unnest(range(0, greatest(1, (coalesce(length(text), 0) + 31) // 32) * 2)) AS k FROM documents)) WHERE k = 0 OR begin_at <= n),
+  SELECT *, 1 + k // 2 * 512 + CASE WHEN k % 2 = 0 THEN 0 ELSE {_FIRST} END AS begin_at, CASE WHEN k % 2 = 0 THEN {_FIRST} ELSE 512 - {_FIRST} END AS size
+  FROM (SELECT doc_id, text, coalesce(length(text), 0) AS n, unnest(range(0, greatest(1, (coalesce(length(text), 0) + 511) // 512) * 2)) AS k FROM documents)) WHERE k = 0 OR begin_at <= n),
 fx_texts AS (SELECT doc_id AS page_id, CAST(k AS INT) AS region_id,
   CASE WHEN doc_id % 6 = 5 THEN t
     ELSE translate(lower(t), 'abcdefghijklmnopqrstuvwxyz', CASE doc_id % 6

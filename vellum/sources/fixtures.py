@@ -27,12 +27,12 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents cut into items: each stretch of 32 characters is one item of 2 to 30 and one of the rest. An empty text is
+    """Whole documents cut into items: each stretch of 512 characters is one item of 2 to 30 and one of the rest. An empty text is
     one empty item."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n", F.coalesce(F.length("text"), F.lit(0)))
-    docs = docs.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("n") / 32).cast("int")) * 2 - 1)))
+    docs = docs.withColumn("k", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("n") / 512).cast("int")) * 2 - 1)))
     first = (F.lit(2) + (F.col("doc_id") + F.floor(F.col("k") / 2) * 7) % 29).cast("int")
-    docs = docs.select("doc_id", "text", "n", "k", F.when(F.col("k") % 2 == 0, first).otherwise(32 - first).alias("size"), (1 + F.floor(F.col("k") / 2) * 32 + F.when(F.col("k") % 2 == 0, 0).otherwise(first)).cast("int").alias("at"))
+    docs = docs.select("doc_id", "text", "n", "k", F.when(F.col("k") % 2 == 0, first).otherwise(512 - first).alias("size"), (1 + F.floor(F.col("k") / 2) * 512 + F.when(F.col("k") % 2 == 0, 0).otherwise(first)).cast("int").alias("at"))
     part = F.substring(F.col("text"), F.col("at"), F.col("size"))
     return docs.where("k = 0 or at <= n").select(F.col("doc_id").alias("page_id"), F.col("k").cast("int").alias("region_id"), F.when(F.col("doc_id") % 6 == 5, part).otherwise(_written(F.lower(part))).alias("text"))
 
