@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from vellum.operators import grouping, layout, pixels, service
+from vellum.operators import detections, grouping, layout, pixels, service
 from vellum.plans.registry import ORACLE_SQL, QUERIES
 from vellum.sources import fixtures as fx
 
@@ -162,6 +162,44 @@ def test_lru_equals_simulation(spark, log, limit):
             keys = [k, *(x for x in keys if x != k)][:limit]
 
 
+@pytest.mark.parametrize("width", [20_000, 2_000_000])
+def test_in_flight_equals_simulation(spark, log, width):
+    rows, _ = log
+    rows = [(i, None if server == "s0" else server, k, at, s * (40 if k < "k2" else 1)) for i, server, k, at, s in rows] + [(5000 + i, "hot", "k", i // 3, 7) for i in range(3000)]
+    df = spark.createDataFrame(rows, "event_id long, server string, k string, at long, s long")
+    got = {r.event_id: r.joined for r in service.in_flight(df, ["server", "k"], "at", "event_id", df["s"], (df["at"] / width).cast("long")).collect()}
+    assert len(got) == len(rows)
+    end = {}
+    for i, server, k, at, s in sorted(rows, key=lambda r: (r[3], r[0])):
+        late = at < end.get((server, k), -1)
+        assert got[i] == late
+        end[server, k] = end[server, k] if late else at + s
+
+
+def test_folds_of_empty_and_null_keys(spark):
+    df = spark.createDataFrame([(1, None, None, 5, 9), (2, None, None, 6, 9), (3, None, "a", 7, 9)], "event_id long, server string, k string, at long, s long")
+    assert {r.event_id: r.hit for r in service.lru_hits(df, "server", df["k"], "at", "event_id", df["at"]).collect()} == {1: False, 2: True, 3: False}
+    assert {r.event_id: r.joined for r in service.in_flight(df, ["server", "k"], "at", "event_id", df["s"], df["at"]).collect()} == {1: False, 2: True, 3: False}
+    none = df.where("event_id < 0")
+    assert service.lru_hits(none, "server", none["k"], "at", "event_id", none["at"]).count() == 0
+    assert service.in_flight(none, ["server"], "at", "event_id", none["s"], none["at"]).count() == 0
+
+
+def test_detections_at_their_limits(spark):
+    square = spark.createDataFrame([(1, i, 512.0, 512.0, w, 64.0, s, 512, 2048) for i, (w, s) in enumerate([(64.0, 0.05), (64.0, 0.0501), (1.0, 0.9), (4096.0, 0.9)])], "page_id long, region_id int, cx double, cy double, w double, h double, score double, img_w int, img_h int")
+    assert {r.region_id: tuple(r)[2:6] for r in detections.detector_boxes(square).collect()} == {1: (240, 960, 272, 1088), 3: (0, 960, 512, 1088), 2: (255, 960, 256, 1088)}
+    dots = [(1, x, y, 201 if x < 14 else 150) for x in range(20) for y in range(10)] + [(2, x, y, 255) for x in range(199) for y in range(1)] + [(3, x, y, 255) for x in range(10) for y in range(26)]
+    kept = detections.valid_bubbles(spark.createDataFrame(dots, "m long, x int, y int, gray int"), "m").collect()
+    assert [(r.m, r.n, r.white) for r in kept] == [(1, 200, 0.7)]
+    tiny = spark.createDataFrame([(1, 0, 0, 0, 4, 99, 800, 1200), (2, 0, 100, 100, 110, 108, 800, 1200)], "page_id long, region_id int, x1 int, y1 int, x2 int, y2 int, img_w int, img_h int")
+    bubbles = spark.createDataFrame([(2, 7, 50, 50, 250, 150)], "page_id long, bubble_id int, x1 int, y1 int, x2 int, y2 int")
+    assert [tuple(r) for r in detections.raw_unions(tiny, bubbles).collect()] == [(2, 7, "bubble_dialogue", "bubble_interior", 58, 54, 242, 146)]
+    said = spark.createDataFrame([("[TL: one... two]",), ("[TL: one]",), ("one... two",), (None,)], "t string")
+    assert [r[0] for r in said.select(detections.without_placeholder(said["t"])).collect()] == ["one", "one", "one... two", None]
+    cents = spark.createDataFrame([(1.005,), (-1.005,), (2.345,), (0.0,)], "x double")
+    assert [r[0] for r in cents.select(detections.cents(cents["x"])).collect()] == [1.01, -1.01, 2.35, 0.0]
+
+
 def test_raster_kernels():
     rng = np.random.default_rng(2)
     for _ in range(60):

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def queue_finish(events: DataFrame, server: str, at: str, order: str, service: Column, block: Column) -> DataFrame:
@@ -27,51 +28,80 @@ def queue_finish(events: DataFrame, server: str, at: str, order: str, service: C
     return out.withColumn("finish", F.col("__c") + F.col("c0") + F.greatest(F.col("__m") - F.col("c0"), F.col("m0"))).drop("__s", "__b", "__c", "__m", "c0", "m0")
 
 
-def lru_hits(events: DataFrame, server: str, key: Column, at: str, order: str, block: Column, limit: int = 12) -> DataFrame:
-    """hit: whether the key was among the last `limit` distinct keys of its server."""
-    df = events.withColumns({"__k": key, "__b": block})
-    row = F.struct(F.col(at).alias("at"), F.col(order).alias("ord"), F.col("__k").alias("k"))
-    blocks = df.groupBy(server, "__b").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    last = df.groupBy(server, "__b", "__k").agg(F.max(F.struct(at, order)).alias("t")).groupBy(server, "__b").agg(F.slice(F.sort_array(F.collect_list(F.struct("t", "__k")), False), 1, limit).alias("x"))
-    states = last.groupBy(server).agg(F.sort_array(F.collect_list(F.struct(F.col("__b").alias("b"), F.transform("x", lambda e: e["__k"]).alias("x")))).alias("bs"))
-
-    def prefix(batches):
+def _folded(rows: DataFrame, group: list[str], order: list, begin, step, schema: str) -> DataFrame:
+    """step(state, row) -> (state, output rows) over the rows of each group in order, from begin(). A partition is sorted and read as
+    a stream with one state at a time, so a group's length costs no memory; row is a tuple in the order of the columns."""
+    at = [rows.columns.index(g) for g in group]
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches):
+        now, state = None, None
         for batch in batches:
             out = []
-            for bs in batch.column("bs").to_pylist():
-                state: list[str] = []
-                own = []
-                for b in bs:
-                    own.append({"b": b["b"], "start": state})
-                    state = [*b["x"], *(k for k in state if k not in b["x"])][:limit]
-                out.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column(server), pa.array(out, pa.list_(pa.struct([("b", pa.int64()), ("start", pa.list_(pa.string()))])))], names=[server, "s"])
-
-    kind = dict(events.dtypes)[server]
-    starts = states.mapInArrow(prefix, f"{server} {kind}, s array<struct<b:bigint,start:array<string>>>").select(server, F.inline("s")).withColumnRenamed("b", "__b")
-    state = lambda keys: F.struct(keys.alias("keys"), F.array().cast("array<boolean>").alias("hits"))
-
-    def step(acc, r):
-        keys = F.slice(F.concat(F.array(r["k"]), F.filter(acc["keys"], lambda k: k != r["k"])), 1, limit)
-        return F.struct(keys.alias("keys"), F.concat(acc["hits"], F.array(F.array_contains(acc["keys"], r["k"]))).alias("hits"))
-
-    hits = F.aggregate("rows", state(F.col("start")), step, lambda acc: acc["hits"])
-    out = blocks.join(starts, [server, "__b"]).select(F.explode(F.arrays_zip("rows", hits.alias("hits"))).alias("e"))
-    return out.select(F.col("e.rows.ord").alias(order), F.col("e.rows.k").alias("key"), F.col("e.hits").alias("hit"))
-
-
-def in_flight(events: DataFrame, key: list[str], at: str, order: str, service: Column) -> DataFrame:
-    """joined: whether a request finds one with its key still running and waits for that instead of starting."""
-    df = events.withColumn("__s", service.cast("long"))
-    rows = df.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.col(order).alias("ord"), F.col("__s").alias("s")))).alias("rows"))
-    start = F.struct(F.lit(-(1 << 62)).cast("long").alias("end"), F.array().cast("array<boolean>").alias("joined"))
-
-    def step(acc, r):
-        late = r["at"] < acc["end"]
-        return F.struct(F.when(late, acc["end"]).otherwise(r["at"] + r["s"]).alias("end"), F.concat(acc["joined"], F.array(late)).alias("joined"))
-
-    out = rows.select(F.explode(F.arrays_zip("rows", F.aggregate("rows", start, step, lambda acc: acc["joined"]).alias("joined"))).alias("e"))
-    return out.select(F.col("e.rows.ord").alias(order), F.col("e.joined").alias("joined"))
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = tuple(row[i] for i in at)
+                if own != now:
+                    now, state = own, begin()
+                state, made = step(state, row)
+                out.extend(made)
+            columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    types = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema).types
+    return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, schema)
+
+
+def lru_hits(events: DataFrame, server: str, key: Column, at: str, order: str, block: Column, limit: int = 12) -> DataFrame:
+    """hit: whether the key was among the last `limit` distinct keys of its server; a null key is a key of its own.
+
+    The last keys of each block of time are found first; read in order they give each block's starting keys, and these go before
+    the block's events as rows. Blocks are then replayed apart from each other."""
+    kind = dict(events.dtypes)
+    df = events.select(F.col(server).alias("s"), block.alias("b"), key.cast("string").alias("k"), F.col(at).cast("long").alias("at"), F.col(order).alias("ord"), F.lit(1).alias("event"))
+    newest = F.row_number().over(W.partitionBy("s", "b").orderBy(F.desc("t")))
+    last = df.groupBy("s", "b", "k").agg(F.max(F.struct("at", "ord")).alias("t")).withColumn("age", newest).where(F.col("age") <= limit)
+
+    def start(state, row):
+        (known, keys), (_, b, k, age) = state, row
+        made = [] if known == b else [(row[0], b, x, i) for i, x in enumerate(keys)]
+        return (b, [k, *(x for x in keys if x != k)][:limit]), made
+
+    starts = _folded(last.select("s", "b", "k", "age"), ["s"], ["b", F.desc("age")], lambda: (None, []), start, f"s {kind[server]}, b long, k string, age int")
+    before = starts.select("s", "b", "k", F.lit(0).cast("long").alias("at"), (-F.col("age")).cast(kind[order]).alias("ord"), F.lit(0).alias("event"))
+
+    def replay(keys, row):
+        _, _, k, _, ord_, event = row
+        return [k, *(x for x in keys if x != k)][:limit], [(ord_, k, k in keys)] if event else []
+
+    return _folded(df.unionByName(before), ["s", "b"], ["event", "at", "ord"], list, replay, f"{order} {kind[order]}, key string, hit boolean")
+
+
+def in_flight(events: DataFrame, key: list[str], at: str, order: str, service: Column, block: Column) -> DataFrame:
+    """joined: whether a request finds one with its key still running and waits for that instead of starting.
+
+    A request that comes when all earlier ones of its key would have ended starts anew whatever they did, so a key's history falls
+    apart there; the maxima and counts that tell are prefixes over blocks of time. The parts are replayed apart from each other."""
+    kind, group = dict(events.dtypes), [f"__k{i}" for i in range(len(key))]
+    df = events.select(*[F.col(k).alias(g) for k, g in zip(key, group, strict=True)], block.alias("__b"), F.col(at).cast("long").alias("__at"), F.col(order).alias("__ord"), service.cast("long").alias("__s"))
+    inside = W.partitionBy(*group, "__b").orderBy("__at", "__ord")
+    earlier = W.partitionBy(*group).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+
+    def with_prefix(df: DataFrame, total: Column, prefix) -> DataFrame:
+        blocks = df.groupBy(*group, "__b").agg(total.alias("__x")).select(*[F.col(c).alias(f"{c}_") for c in (*group, "__b")], prefix("__x").over(earlier).alias("__before"))
+        same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (*group, "__b")]
+        return df.join(blocks, same).drop(*[f"{c}_" for c in (*group, "__b")])
+
+    end = F.col("__at") + F.col("__s")
+    df = with_prefix(df, F.max(end), F.max).withColumn("__m", F.max(end).over(inside.rowsBetween(W.unboundedPreceding, -1)))
+    df = df.withColumn("__new", F.coalesce(F.col("__at") >= F.greatest("__m", "__before"), F.lit(True)).cast("long")).drop("__before", "__m")
+    df = with_prefix(df, F.sum("__new"), F.sum).withColumn("__part", F.coalesce("__before", F.lit(0)) + F.sum("__new").over(inside))
+
+    def replay(end, row):
+        at_, ord_, s = row[-3:]
+        late = end is not None and at_ < end
+        return end if late else at_ + s, [(ord_, late)]
+
+    return _folded(df.select(*group, "__part", "__at", "__ord", "__s"), [*group, "__part"], ["__at", "__ord"], lambda: None, replay, f"{order} {kind[order]}, joined boolean")
 
 
 def debounced(events: DataFrame, key: list[str], at: str, order: str, delay: int) -> DataFrame:

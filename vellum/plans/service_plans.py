@@ -55,7 +55,7 @@ def _statuses(spark, d):
 QUERIES = {
     "queue_finish": lambda spark, d: service.queue_finish(_events(spark, d), "event_type", "at", "event_id", _service(), _block()).select("event_id", "finish"),
     "lru_hits": lambda spark, d: _lru(spark, d).select("event_id", "key", "hit"),
-    "in_flight_join": lambda spark, d: service.in_flight(_events(spark, d), ["user_id", "event_type"], "at", "event_id", _service() * 20_000),
+    "in_flight_join": lambda spark, d: service.in_flight(_events(spark, d), ["user_id", "event_type"], "at", "event_id", _service() * 20_000, _block()),
     "debounce": lambda spark, d: service.debounced(_events(spark, d), ["user_id"], "at", "event_id", 3 * DAY).select("event_id", "user_id"),
     "retry_schedule": lambda spark, d: service.retries(fx.table(spark, d, "events").select("event_id"), "event_id"),
     "negative_cache": lambda spark, d: service.negative_cache(_events(spark, d), ["user_id"], "at", "event_id", DAY).select("event_id", "known_miss"),
