@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from vellum.operators import detections, grouping, layout, pixels, service
+from vellum.operators import detections, grouping, layout, pixels, service, stats
 from vellum.plans.registry import ORACLE_SQL, QUERIES
 from vellum.sources import fixtures as fx
 
@@ -200,6 +200,14 @@ def test_detections_at_their_limits(spark):
     assert [r[0] for r in cents.select(detections.cents(cents["x"])).collect()] == [1.01, -1.01, 2.35, 0.0]
 
 
+def test_medians_are_exact(spark):
+    rng = random.Random(3)
+    groups = {"even": [rng.gauss(0, 1) for _ in range(5000)], "odd": [float(rng.randint(0, 3)) for _ in range(4001)], "one": [2.5], "two": [1.0, 4.0], "hot": [7.0] * 3000 + [8.0] * 2999 + [1.0], "three": [-1.0, 0.0, 9.0]}
+    rows = [(g, v) for g, values in groups.items() for v in values] + [("one", None), ("one", math.nan), (None, 1.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    assert {r.g: r.m for r in stats.medians(df, ["g"], "v", "m").collect()} == {g: pytest.approx(float(np.median(v)), abs=1e-12) for g, v in groups.items()}
+
+
 def test_raster_kernels():
     rng = np.random.default_rng(2)
     for _ in range(60):
