@@ -97,6 +97,15 @@ def test_stage_files(spark, tmp_path, there):
     assert got.count() == (2 if there else 0)
 
 
+def test_stage_pages_are_replaced_alone(spark, tmp_path):
+    at, kind = f"file://{tmp_path}/stage", "page_id string, id int"
+    io.write_stage(spark.createDataFrame([(f"p{i}", i) for i in range(60)] + [("p0", 100)], kind), at, buckets=4)
+    io.write_stage(spark.createDataFrame([("p0", 7), ("p3", 8), ("new", 9)], kind), at, buckets=4)
+    got = sorted((r.page_id, r.id) for r in spark.read.parquet(at).collect())
+    assert got == sorted([(f"p{i}", i) for i in range(60) if i not in (0, 3)] + [("p0", 7), ("p3", 8), ("new", 9)])
+    assert len(list((tmp_path / "stage").glob("bucket=*"))) <= 4
+
+
 def test_images(spark, tmp_path):
     for name, data in (("a.png", b"one"), ("b.jpg", b"one"), ("c.png", b"two"), ("d.txt", b"no")):
         (tmp_path / name).write_bytes(data)

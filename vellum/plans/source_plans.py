@@ -65,6 +65,12 @@ def _lru_stream(spark, d):
     return spark.read.schema("event_id long, key string, hit boolean").parquet(f"{at}/out")
 
 
+def _wanted(spark, d):
+    k = lambda n: F.col("o_orderkey") % n
+    o = fx.table(spark, d, "orders").select("o_orderkey", F.when(k(17) > 0, F.concat(F.lit("http://x/"), F.col("o_orderkey").cast("string"))).alias("src"), (k(5) > 0).alias("enabled"), (k(7) == 0).alias("forced"), F.when(k(3) > 0, k(11) == 0).alias("paused"), (k(13) == 0).alias("translated"), (k(19) == 0).alias("processing"), (k(23) == 0).alias("known"), (k(29) == 0).alias("pending"), (k(4) == 0).alias("inline"), (k(6) == 0).alias("replaced"), (k(8) == 0).alias("standalone"), (k(2) * (150 + k(101))).alias("natural_w"), (190 + k(37)).alias("natural_h"), (160 + k(83)).alias("width"), F.lit(0).alias("height"), (60 + k(97)).alias("shown_w"), (95 + k(41)).alias("shown_h"))
+    return o.select("o_orderkey", io.wanted().alias("wanted"))
+
+
 QUERIES = {
     "data_url": _urls,
     "content_key": lambda spark, d: fx.table(spark, d, "pages").select("page_id", io.page_key(F.lit("ja"), F.col("html").cast("binary")).alias("key")),
@@ -73,6 +79,7 @@ QUERIES = {
     "latest_state": lambda spark, d: fx.table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count(F.lit(1)).alias("n")),
     "page_statistics": _stats,
     "raster_shapes": lambda spark, d: pixels.region_statistics(rasters(spark, d)).select("page_id", "n_components", "largest", "rectangle_area"),
+    "wanted_images": _wanted,
     "lru_stream": _lru_stream,
 }
 
@@ -86,5 +93,7 @@ SELECT page_id, place, coalesce(CASE WHEN regexp_matches(regexp_extract(tag, '(?
     "manifest": "SELECT n_nationkey, CAST(to_json({'id': n_nationkey, 'name': n_name}) AS VARCHAR) AS json FROM nation",
     "latest_state": "SELECT user_id, arg_max(event_type, {'a': ts, 'b': event_id}) AS state, count(*) AS n FROM events GROUP BY user_id",
     "page_statistics": f"WITH {_GRID} SELECT page_id, round(avg(CASE WHEN v > 168 THEN 1.0::DOUBLE ELSE 0 END), 6) AS pale, round(avg(CASE WHEN v < 120 THEN 1.0::DOUBLE ELSE 0 END), 6) AS dark, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM g GROUP BY page_id",
+    "wanted_images": """WITH o AS (SELECT o_orderkey AS k FROM orders) SELECT k AS o_orderkey, (k % 5 > 0 OR k % 7 = 0) AND k % 17 > 0 AND NOT (k % 3 > 0 AND k % 11 = 0) AND k % 13 > 0 AND k % 19 > 0 AND k % 23 > 0 AND k % 29 > 0 AND NOT (k % 4 = 0 AND k % 6 = 0)
+  AND CASE WHEN k % 2 = 0 THEN 160 + k % 83 ELSE 150 + k % 101 END >= 200 AND 190 + k % 37 >= 200 AND (k % 8 = 0 OR (60 + k % 97 >= 100 AND 95 + k % 41 >= 100)) AS wanted FROM o""",
     "lru_stream": SERVICE_SQL["lru_hits"],
 }

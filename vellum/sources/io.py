@@ -37,18 +37,29 @@ def data_url(content: Column, kind: str = "image/png") -> Column:
     return F.concat(F.lit(f"data:{kind};base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")))
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_stage(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A stage's JSON arrays, or an empty table where the stage has not run."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not _there(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def write_stage(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """A stage's rows by page; pages of a new run replace the same pages only."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("page_id").format(kind).save(path)
+def write_stage(df: DataFrame, path: str, kind: str = "parquet", buckets: int = 256) -> None:
+    """A stage's rows in one folder and file for each bucket of pages, whatever the number of pages; pages of a new run replace the
+    same pages only, and buckets without any stay untouched. All runs of a stage take the same number of buckets; the column
+    `bucket` is the stage's own."""
+    own = F.pmod(F.xxhash64("page_id"), F.lit(buckets)).cast("int")
+    placed = df.withColumn("bucket", own)
+    if _there(df.sparkSession, path):
+        before = df.sparkSession.read.schema(placed.schema).format(kind).load(path)
+        old = before.join(placed.select("bucket").distinct(), "bucket", "left_semi").join(df.select("page_id").distinct(), "page_id", "left_anti")
+        placed = placed.unionByName(old)
+    placed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").format(kind).save(path)
 
 
 def manifest(*cols: Column) -> Column:
@@ -68,6 +79,18 @@ def image_candidates(pages: DataFrame, html: str = "html") -> DataFrame:
     return tags.select("page_id", "place", F.coalesce(*lazy, attr("src")).alias("src")).where("src is not null")
 
 
-def wanted(images: DataFrame, width: str, height: str) -> Column:
-    """Whether an image is large enough to be a page, natural (200) and as shown (100)."""
-    return (F.col(width) >= 200) & (F.col(height) >= 200)
+def large_enough(natural_w: str, natural_h: str, width: str, height: str, least: int = 200) -> Column:
+    """Whether an image's own size, or where that is unknown (0) its set one, is that of a page."""
+    side = lambda own, other: F.coalesce(F.nullif(F.col(own), F.lit(0)), F.col(other), F.lit(0)) >= least
+    return side(natural_w, width) & side(natural_h, height)
+
+
+def wanted() -> Column:
+    """Whether an image of a page is to be translated now. Columns: src; flags enabled, forced, paused, translated, processing, known (in
+    the translated set), pending, inline (data address), replaced (keeps an original address), standalone; natural_w, natural_h,
+    width, height; shown_w, shown_h, at least 100 unless the image is a page of its own. Null flags are false, null sizes 0."""
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False))
+    busy = flag("paused") | flag("translated") | flag("processing") | flag("known") | flag("pending") | (flag("inline") & flag("replaced"))
+    shown = flag("standalone") | ((F.coalesce("shown_w", F.lit(0)) >= 100) & (F.coalesce("shown_h", F.lit(0)) >= 100))
+    there = F.coalesce(F.col("src") != "", F.lit(False))
+    return (flag("enabled") | flag("forced")) & there & ~busy & large_enough("natural_w", "natural_h", "width", "height") & shown
