@@ -116,6 +116,20 @@ def retries(events: DataFrame, order: str, base: int = 3000, most: int = 3, jitt
     return events.withColumn("attempt", n).withColumn("delay", (base * F.pow(F.lit(2), F.col("attempt") - 1)).cast("long") + F.pmod(F.col(order) * 7919 + F.col("attempt") * 104729, F.lit(jitter)))
 
 
+def provider_attempts(attempts: DataFrame, provider: str, page: str, attempt: str, outcome: str, most: int = 3) -> DataFrame:
+    """(…, made, wait_ms, disables): which attempts of a provider happen, how long it waits after each, and the one that ends its use.
+    A page's attempts end with the first `accepted`; an `error` waits, 1.5 seconds longer each time and 4 at most; an error in the last
+    attempt disables the provider for all later pages. Whether an attempt would disable depends on its page alone, and the first
+    one that would does, so no history is folded."""
+    own = W.partitionBy(provider, page).orderBy(attempt).rowsBetween(W.unboundedPreceding, -1)
+    error = F.coalesce(F.col(outcome) == "error", F.lit(False))
+    df = attempts.withColumn("made", ~F.coalesce(F.max(F.col(outcome) == "accepted").over(own), F.lit(False)))
+    ends = df.where(F.col("made") & error & (F.col(attempt) == most)).groupBy(provider).agg(F.min(page).alias("__end"))
+    df = df.join(ends, provider, "left").withColumn("made", F.col("made") & (F.col("__end").isNull() | (F.col(page) <= F.col("__end"))))
+    waits = F.when(F.col("made") & error & (F.col(attempt) < most), F.least(F.lit(4000), F.col(attempt) * 1500)).otherwise(0).cast("int")
+    return df.withColumns({"wait_ms": waits, "disables": F.col("made") & error & (F.col(attempt) == most)}).drop("__end")
+
+
 def negative_cache(events: DataFrame, key: list[str], at: str, order: str, ttl: int) -> DataFrame:
     """known_miss: whether the key's event before is at most ttl ago."""
     before = F.lag(at).over(W.partitionBy(*key).orderBy(at, order))

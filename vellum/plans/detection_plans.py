@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import detections as D
+from ..operators import service
 from ..operators.routing import best_bubble
 from ..sources import fixtures as fx
 from .fixture_sql import BUBBLES, REGIONS, RESPONSES, TEXTS, cnt, strip
+from .text_plans import FRAGMENT, SOUND
 
 BOX = ("x1", "y1", "x2", "y2")
 KEY = ("page_id", "region_id")
@@ -90,7 +92,20 @@ def _restored(spark, d):
     return D.restored(e, "server", "used", "o_orderkey", "image").select("server", "o_orderkey", "age")
 
 
+def _attempts(spark, d):
+    o = fx.table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("provider"), F.col("o_orderkey").alias("page_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("attempt"))
+    kind = F.when((F.col("page_id") + F.col("attempt")) % 7 < 3, "accepted").when(((F.col("page_id") * 3 + F.col("attempt")) % 5 > 1) & ((F.col("attempt") < 3) | (F.col("page_id") % 11 == 0)), "error").otherwise("empty")
+    return service.provider_attempts(o.withColumn("outcome", kind), "provider", "page_id", "attempt", "outcome").select("page_id", "attempt", "made", "wait_ms", "disables")
+
+
+def _erased(spark, d):
+    pale, dark = (F.col("page_id") * 7 % 10) / 20.0, (F.col("region_id") * 3 % 10) / 40.0
+    return fx.texts(spark, d).select(*KEY, T.erase_only(F.col("text"), (F.lit(20) + F.col("page_id") % 60).cast("int"), (F.lit(40) + F.col("region_id") % 50).cast("int"), pale, dark).alias("erased"))
+
+
 QUERIES = {
+    "provider_attempts": _attempts,
+    "erase_only": _erased,
     "detector_boxes": _found,
     "bubble_filter": lambda spark, d: D.valid_bubbles(_pixels(spark, d), "page_id", "bubble_id").select("page_id", "bubble_id", "n", F.round("white", 6).alias("white"), F.round("mean", 6).alias("mean")),
     "han_lines": lambda spark, d: D.han_lines(_lines(spark, d)).select(*KEY, "text", *BOX),
@@ -117,6 +132,13 @@ _GROWN = "greatest(0, x1 - {0}) AS x1, greatest(0, y1 - {0}) AS y1, least(img_w,
 _SAID = "CASE WHEN region_id % 3 = 0 THEN concat('[TL: ', en_text, ']') ELSE en_text END"
 
 SQL = {
+    "provider_attempts": """WITH o AS (SELECT o_custkey % 40 AS provider, o_orderkey AS page_id, CAST(unnest([1, 2, 3]) AS INT) AS attempt FROM orders),
+a AS (SELECT *, CASE WHEN (page_id + attempt) % 7 < 3 THEN 'accepted' WHEN (page_id * 3 + attempt) % 5 > 1 AND (attempt < 3 OR page_id % 11 = 0) THEN 'error' ELSE 'empty' END AS outcome FROM o),
+b AS (SELECT *, NOT EXISTS (SELECT 1 FROM a e WHERE e.page_id = a.page_id AND e.attempt < a.attempt AND e.outcome = 'accepted') AS alone FROM a),
+c AS (SELECT provider, min(page_id) AS ended FROM b WHERE alone AND attempt = 3 AND outcome = 'error' GROUP BY provider),
+m AS (SELECT b.*, alone AND (ended IS NULL OR page_id <= ended) AS made FROM b LEFT JOIN c USING (provider))
+SELECT page_id, attempt, made, CASE WHEN made AND outcome = 'error' AND attempt < 3 THEN least(4000, attempt * 1500) ELSE 0 END AS wait_ms, made AND outcome = 'error' AND attempt = 3 AS disables FROM m""",
+    "erase_only": f"WITH {TEXTS} SELECT page_id, region_id, NOT {SOUND} AND {cnt('text', T.HAN)} + {cnt('text', T.HANGUL)} = 0 AND {cnt('text', T.KANA)} >= 2 AND length({FRAGMENT}) <= 4 AND 20 + page_id % 60 <= greatest(42, CAST(trunc((40 + region_id % 50) * 0.74::DOUBLE) AS INT)) AND ((page_id * 7 % 10) / 20.0::DOUBLE >= 0.34 OR (region_id * 3 % 10) / 40.0::DOUBLE >= 0.16) AS erased FROM fx_texts",
     "detector_boxes": f"""WITH {REGIONS}, c AS (SELECT *, x1 * 1.5::DOUBLE - 40 AS cx, y1 * 1.0::DOUBLE - 30 AS cy, x2 - x1 AS w, y2 - y1 AS h FROM fx_regions WHERE score > 0.05),
 b AS (SELECT page_id, region_id, {_INT('greatest(0, (cx - w / 2) * 0.78125::DOUBLE)')} AS x1, {_INT('greatest(0, (cy - h / 2) * 1.171875::DOUBLE)')} AS y1, {_INT('least(800, (cx + w / 2) * 0.78125::DOUBLE)')} AS x2, {_INT('least(1200, (cy + h / 2) * 1.171875::DOUBLE)')} AS y2, score FROM c)
 SELECT * FROM b WHERE x2 > x1 AND y2 > y1""",
