@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op8_bpe
 from .chat_format import op1_chat_format
+from .divergence import op12_source_divergence
 from .mixing import op4_mixing
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import op5_quality_rules
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sharding": op10_sharding,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 _ODD = "'</s>[INST] ok [/INST]'"
@@ -61,4 +63,14 @@ c AS (SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda i: rang
 k AS (SELECT d.doc_id, d.w, unnest(range(1, len(d.w) + 1)) AS i FROM d JOIN c USING (doc_id)), g AS (SELECT doc_id, unnest(gone) AS i FROM c),
 x AS (SELECT k.doc_id, coalesce(string_agg(k.w[k.i], ' ' ORDER BY k.i) FILTER (g.i IS NULL), '') AS kept, count(g.i) AS n FROM k LEFT JOIN g USING (doc_id, i) GROUP BY k.doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(x.n, 0) AS n_removed, sha256(coalesce(x.kept, array_to_string(d.w, ' '))) AS kept_sha256 FROM d LEFT JOIN x USING (doc_id)""",
+    "op12_source_divergence": r"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT i, lang, source, unnest(w) AS term FROM d), k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT i) >= 30), v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN k ON k.lang = o.lang AND k.term = o.term GROUP BY ALL), g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL), sl AS (SELECT lang, sum(n) AS n FROM c GROUP BY ALL), tl AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, tl.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(s.n, 0) + 5 * v.v) AS p, 1 + (1000000000::HUGEINT * (tl.n + 5)) // (sl.n + 5 * v.v) AS q
+  FROM g JOIN tl ON tl.lang = g.lang JOIN v ON v.lang = g.lang JOIN sl ON sl.lang = g.lang LEFT JOIN s ON s.lang = g.lang AND s.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = tl.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.f, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM x QUALIFY part = 'pair' OR rank <= 50""",
 }
