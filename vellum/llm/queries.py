@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .centroids import op13_centroid_clustering
 from .chat_format import op1_chat_format
 from .divergence import op12_source_divergence
 from .mixing import op4_mixing
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sharding": op10_sharding,
     "op12_source_divergence": op12_source_divergence,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 _ODD = "'</s>[INST] ok [/INST]'"
@@ -41,6 +43,19 @@ _HOST = "regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1), '^www\\.
 _PATH = "coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/')"
 _QUERY = "regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)"
 
+
+def _clustered(rounds: int = 10) -> str:
+    """Rounds of exact centroid clustering as one common table expression after another; x is a vector's components by place."""
+    steps = ["""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+        """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS j, v AS c FROM v QUALIFY j < 8)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, v, j, d FROM (SELECT vec_id, v, j, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v CROSS JOIN c{r}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, j) = 1)""")
+        steps.append(f"""s{r} AS (SELECT j, i, CAST(sum(x)::HUGEINT // count(*) AS BIGINT) - CASE WHEN sum(x) < 0 AND sum(x)::HUGEINT % count(*) <> 0 THEN 1 ELSE 0 END AS m FROM (SELECT j, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY j, i)""")
+        steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c{r}.j, coalesce(n.c, c{r}.c) AS c FROM c{r} LEFT JOIN (SELECT j, list(m ORDER BY i) AS c FROM s{r} GROUP BY j) n ON n.j = c{r}.j)""")
+    return "WITH " + ",\n".join(steps[:-2]) + f"""
+SELECT vec_id, CAST(a.j AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.j = a.j"""
+
+
 #: For the operators that SQL can express. The others hash, encode, train or draw; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -73,4 +88,5 @@ f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p
 x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.f, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
   UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q)
 SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM x QUALIFY part = 'pair' OR rank <= 50""",
+    "op13_centroid_clustering": _clustered(),
 }
