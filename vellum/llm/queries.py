@@ -7,6 +7,7 @@ from .centroids import op13_centroid_clustering
 from .chat_format import op1_chat_format
 from .divergence import op12_source_divergence
 from .mixing import op4_mixing
+from .posting_lists import op11_nearest_neighbours
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import op5_quality_rules
 from .sharding import op10_sharding
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sharding": op10_sharding,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
     "op12_source_divergence": op12_source_divergence,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
