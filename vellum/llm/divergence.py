@@ -27,20 +27,21 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Fixed value: what a term is.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Fixed value: what stands between terms.
+GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE_STEP, STEPS, SMOOTH = 1000, 3, 5
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of each term in each group; a null term where a group has documents without one."""
+    """(lang, source, term, n, docs): occurrences and documents of each term in each group. Texts are split, as Spark's split() is linear in a
+    text; the empty strings at their ends, and of texts without a term, stay as the term '', so each group has a row."""
     read = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     low = F.translate(read(text), string.ascii_uppercase, string.ascii_lowercase)
-    terms = docs.select(read(lang).alias("lang"), read(source).alias("source"), F.array_sort(F.regexp_extract_all(low, F.lit(TERM), F.lit(0))).alias("terms"))
+    terms = docs.select(read(lang).alias("lang"), read(source).alias("source"), F.sort_array(F.split(low, GAP)).alias("terms"))
     # in a sorted array a term is new where it differs from the one before it
     marked = F.transform("terms", lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get(F.col("terms"), i - 1) == x), 0).otherwise(1).alias("new")))
-    each = terms.select("lang", "source", F.explode_outer(marked).alias("t"))
-    return each.groupBy("lang", "source", F.col("t.term").alias("term")).agg(F.count("t.term").alias("n"), F.coalesce(F.sum("t.new"), F.lit(0)).alias("docs"))
+    each = terms.select("lang", "source", F.explode(marked).alias("t"))
+    return each.groupBy("lang", "source", F.col("t.term").alias("term")).agg(F.count(F.lit(1)).alias("n"), F.sum("t.new").alias("docs"))
 
 
 def share(count: Column, total: Column) -> Column:
@@ -58,7 +59,7 @@ def audit(docs: DataFrame, least_docs: int = 30, top_terms: int = 50, salts: int
     terms that a source has more of than its language, with the difference of shares, up to rank `top_terms`."""
     counts = written(term_counts(docs, **columns), "counts")
     wide = written(
-        counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("own")).where(F.col("docs") >= least_docs).drop("docs"),
+        counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("own")).where(F.col("docs") >= least_docs).drop("docs"),
         "wide",
     )
     kept = wide.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("n_lang"))
