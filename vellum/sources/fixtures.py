@@ -59,3 +59,47 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = (F.col("page_id") + F.col("region_id") * 3 + F.col("p") * 2) % 5
     said = F.when(kind == 0, "").when(kind == 1, F.regexp_replace("text", r'["\s]', " ")).when(kind == 2, "[TL: missing...]").otherwise(F.concat(F.lit("Line "), F.col("page_id").cast("string"), F.lit(" "), F.col("region_id").cast("string")))
     return t.select("page_id", "region_id", F.col("p").cast("int").alias("provider_rank"), F.concat(F.lit("p"), F.col("p").cast("string")).alias("provider"), F.when((F.col("page_id") + F.col("region_id") + F.col("p")) % 7 == 0, 401).otherwise(200).alias("http_status"), said.alias("en_text"))
+
+
+#: A page's markup is also a raster: rows of so many characters.
+ROW = 96
+
+
+def _stretches(spark: SparkSession, sf_dir: str, boundary: str) -> DataFrame:
+    """(page_id, p0, p1, piece): the markup of each page cut at a zero-width pattern; places are counted in characters."""
+    cut = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split(F.coalesce("html", F.lit("")), boundary)).alias("k", "piece"))
+    end = F.sum(F.length("piece")).over(W.partitionBy("page_id").orderBy("k")).cast("int")
+    return cut.select("page_id", (end - F.length("piece")).alias("p0"), end.alias("p1"), "piece")
+
+
+def _rows(stretches: DataFrame, *keys: str) -> DataFrame:
+    """Stretches as runs of the raster."""
+    of = lambda p: F.floor(p / ROW).cast("int")
+    y = F.explode(F.sequence(of(F.col("p0")), of(F.col("p1") - 1))).alias("y")
+    return stretches.where("p1 > p0").select(*keys, "p0", "p1", y).select(*keys, "y", F.greatest(F.lit(0), F.col("p0") - F.col("y") * ROW).alias("x_start"), F.least(F.lit(ROW), F.col("p1") - F.col("y") * ROW).alias("x_end"))
+
+
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.lit(ROW).alias("w"), F.ceil(F.length(F.coalesce("html", F.lit(""))) / ROW).cast("int").alias("h"))
+
+
+def ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of ASCII letters and digits."""
+    found = _stretches(spark, sf_dir, r"(?<=[A-Za-z0-9])(?=[^A-Za-z0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])").where(F.col("piece").rlike("^[A-Za-z0-9]"))
+    return _rows(found, "page_id")
+
+
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bubbles (page_id, bubble_id, runs): stretches of 12 characters and more outside tags, and the same a row lower, so that neighbours overlap."""
+    found = _stretches(spark, sf_dir, "(?=<)|(?<=>)").where(~F.col("piece").startswith("<") & (F.length("piece") >= 12))
+    numbered = found.withColumn("bubble_id", (F.row_number().over(W.partitionBy("page_id").orderBy("p0")) - 1).cast("int"))
+    rows = _rows(numbered, "page_id", "bubble_id")
+    twice = rows.unionByName(rows.withColumn("y", F.col("y") + 1)).join(sizes(spark, sf_dir).select("page_id", "h"), "page_id").where("y < h").drop("h")
+    return twice
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text boxes over the raster that overlap: 40 characters wide and 8 rows high, one begins every third row."""
+    at = sizes(spark, sf_dir).where("h > 0").select("page_id", "h", F.explode(F.sequence(F.lit(0), F.floor((F.col("h") - 1) / 3).cast("int"))).alias("box_id"))
+    x = ((F.col("box_id") * 17) % 56).cast("int")
+    return at.select("page_id", "box_id", x.alias("x1"), (F.col("box_id") * 3).alias("y1"), (x + 40).alias("x2"), F.least("h", F.col("box_id") * 3 + 8).alias("y2"))
