@@ -362,3 +362,35 @@ def test_scratch_tables_end(spark):
 def test_nearest_breaks_ties_by_place():
     cosine = np.array([[0.5, 0.9, 0.5, 0.5], [0.1, 0.2, 0.3, 0.4]])
     assert sorted(quality_classifier._nearest(cosine, 2)[0].tolist()) == [0, 1] and sorted(quality_classifier._nearest(cosine, 2)[1].tolist()) == [2, 3]
+
+
+def test_rates_are_the_fixed_point_of_a_projected_gradient_step(spark):
+    rng = random.Random(9)
+    letters = {"aa": "abcdef", "bb": "ghijkl", "cc": "mnopqr", "dd": "stuvwx"}
+    rows = [(i, " ".join("".join(rng.choices(letters[d if rng.random() < 0.8 else "aa"], k=4)) for _ in range(rng.randint(5, 60))), d) for i in range(400) for d in [rng.choice(["aa"] * 12 + ["bb"] * 5 + ["cc", "dd"])]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for how in ({}, {"targets": {"aa": 1.0, "bb": 0.01, "cc": 3.0, "dd": 0.5}}, {"temper": 0.3, "grow": True, "least_rate": 1.0}):
+        mixer, table, aim, reached = mixing.fit(docs, docs.select("doc_id"), **how)
+        got = mixing.rated(table, mixer).collect()
+        p, n, r = np.array([x.posterior for x in got]), np.array([x.n_words for x in got], float), np.array([x.rate for x in got])
+        assert mixer.settled and 0 < len(mixer.steps) < mixer.passes and np.allclose((n * r) @ p, reached)
+        g = np.linalg.pinv((p * n[:, None]).T @ p, hermitian=True)
+        after = np.maximum(mixer.least_rate, r - p @ (g @ (reached - aim)) - mixing.PULL * (r - 1))
+        assert np.abs(after - r).max() < 1e-3  # one more plain step moves no rate by more
+
+
+def test_control_strings_alone_are_escaped(spark):
+    texts = ["a [s> b", "[/s> <INST] </INST] < s> <s", "<s></s>[INST][/INST]", "\\<s>\\", "<<s>[[INST]"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: (r.e, r.u) for r in rows.select("i", chat_format.escape(F.col("t")).alias("e"), chat_format.unescape(chat_format.escape(F.col("t"))).alias("u")).collect()}
+    assert got[0][0] == texts[0] and got[1][0] == texts[1] and got[2][0] == "<\\s><\\/s>[\\INST][\\/INST]"
+    assert [got[i][1] for i in range(5)] == texts and not any(c in got[i][0] for i in range(5) for c in ("<s>", "</s>", "[INST]", "[/INST]"))
+
+
+def test_sets_with_one_key_are_told_apart(spark, monkeypatch):
+    prints = spark.createDataFrame([(i, bytes([i]), 5, i % 3, 10 + i % 3, i % 3) for i in range(9)] + [(9, b"x", 6, 0, 10, 7)], f"id long, {near_texts.ROW} binary, key long, more long, n long, fp long")
+    rows, distinct = near_texts._distinct(prints)
+    keys = {}
+    for r in rows.collect():
+        keys.setdefault(r.key, set()).add((r.more, r.n) if r.id < 9 else "other")
+    assert len(keys) == 4 == distinct.count() and all(len(x) == 1 for x in keys.values())

@@ -35,7 +35,7 @@ KINDS = ("message", "edit", "regenerate", "delta")
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(\\)|([<\[])(?=/?(?:s>|INST\]))", r"$1$2\\")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(\\)|(<)(?=/?s>)|(\[)(?=/?INST\])", r"$1$2$3\\")
 
 
 def unescape(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +17,14 @@ from .textkernel import lean
 
 
 _own: dict[str, str] = {}
-_scopes: list[str] = []
+_local = threading.local()
+
+
+def _scopes() -> list[str]:
+    """The open scopes of this thread; each pipeline has its own."""
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +45,7 @@ def _app_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
     """A new path in the shared folder; inside scratch() its table ends with the scope unless it is lasting."""
-    return "/".join([_app_dir(spark), *([] if lasting else _scopes), f"{name}-{uuid.uuid4().hex}"])
+    return "/".join([_app_dir(spark), *([] if lasting else _scopes()), f"{name}-{uuid.uuid4().hex}"])
 
 
 def _drop(spark: SparkSession, path: str) -> bool:
@@ -53,12 +61,12 @@ def drop_written(spark: SparkSession) -> bool:
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written inside are deleted at the end; store what has to last outside."""
-    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    _scopes().append(f"scope-{uuid.uuid4().hex}")
     try:
         yield
     finally:
-        _drop(spark, "/".join([_app_dir(spark), *_scopes]))
-        _scopes.pop()
+        _drop(spark, "/".join([_app_dir(spark), *_scopes()]))
+        _scopes().pop()
 
 
 def drop(table: DataFrame) -> None:

@@ -3,13 +3,15 @@
 A softmax classifier over byte-pair shares, fitted on a bounded sample of the labelled table (`train_rows` ids, the
 smallest by hash, one row an id), gives each document a posterior over domains. Document i with n_i words then holds
 n_i * p_id expected words of domain d. Rates r_i >= least_rate minimise, with residuals e = (sum_i r_i * n_i * p_i) - target and the
-Gram matrix G = sum_i n_i * p_i p_i^T, the least squares e^T G^-1 e + 1e-5 * sum_i n_i * (r_i - 1)**2. A projected gradient step of length
-1e5 from any rates ends at r_i = max(least_rate, 1 - p_i . d) with one direction d = 1e5 * G^-1 e for all documents; the
-rates are the fixed point of that step, and d is found by Newton steps, halved until they descend.
+Gram matrix G = sum_i n_i * p_i p_i^T, the least squares e^T G^-1 e + 1e-5 * sum_i n_i * (r_i - 1)**2 by projected gradient steps,
+scaled by the words of each document: r_i becomes max(least_rate, r_i - s * (p_i . G^-1 e + 1e-5 * (r_i - 1))). In these terms the first part has no
+curvature but 0 and 1, so with s = 1 / (1 + 1e-5) every step descends, and one meets the targets where no rate is at its bound. Where
+many are, steps from r = 1 are slow; so they start from r_i = max(least_rate, 1 - p_i . d) with one direction d for all, which Newton steps on
+the dual bring near the fixed point. Steps end when none moves a rate by more than `still`; the longest move of the last one is reported as `moved`.
 
-A step needs one pass over a narrow written table (id, words, posterior) that adds the residuals and D * D sums over the rates
-above their bound; about ten passes do. Rates are never stored or shuffled: a document's rate follows from its posterior and d, so
-any later pass over the texts can compute it. The driver holds D * D numbers an iteration.
+A step needs one pass over a narrow written table (id, words, posterior) that adds the words of each domain. Rates are never stored
+or shuffled: a step is the same for all documents but for their posteriors, so D numbers a step give any later pass over the texts the rates
+again. The driver holds D * D numbers once and D an iteration.
 
 The domain is any column. A classifier of texts can only move what texts show: where a column does not depend on
 the text, as `source` in the test tables, posteriors are flat and the rates stay level.
@@ -52,15 +54,22 @@ def pair_shares(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return w.count, np.sqrt(c / np.maximum(1, c.sum(axis=1, keepdims=True))).astype(np.float32)
 
 
+#: How much a rate that differs from 1 weighs against the targets.
+PULL = 1e-5
+
+
 @dataclass(frozen=True)
 class Mixer:
-    """Domains with their classifier, and the direction that gives each posterior its rate."""
+    """Domains with their classifier, and the steps that give each posterior its rate: row t of `steps` is what step t takes from a rate for
+    each part of the posterior. Rates start at 1 less the posterior's part of `direction`."""
 
     domains: tuple[str, ...]
     weight: np.ndarray
     least_rate: float
     direction: np.ndarray
+    steps: tuple[np.ndarray, ...] = ()
     missed: float = 0.0
+    moved: float = 0.0
     settled: bool = True
     passes: int = 0
 
@@ -69,14 +78,30 @@ class Mixer:
         z = np.exp((z - z.max(axis=1, keepdims=True)).astype(np.float64))
         return z / z.sum(axis=1, keepdims=True)
 
+    def last_two(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rates before and after the last step."""
+        before = rate = np.maximum(self.least_rate, 1 - p @ self.direction)
+        for step in self.steps:
+            before, rate = rate, np.maximum(self.least_rate, rate - p @ step - PULL / (1 + PULL) * (rate - 1))
+        return before, rate
+
     def rates(self, p: np.ndarray) -> np.ndarray:
-        return np.maximum(self.least_rate, 1 - p @ self.direction)
+        return self.last_two(p)[1]
 
     def sums(self, n: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """What these documents add to the words of each domain, to the Hessian and to the dual objective."""
+        """What these documents add to the words of each domain."""
+        return (n * self.rates(p)) @ p
+
+    def dual_sums(self, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """For rates at the start: what these documents add to the words of each domain, to the Hessian and to the dual objective."""
         z, most = p @ self.direction, 1 - self.least_rate
         cost = np.where(z <= most, z * z / 2 - z, -self.least_rate * z - most * most / 2)
-        return np.concatenate([(n * self.rates(p)) @ p, ((p * (n * (z < most))[:, None]).T @ p).ravel(), [n @ cost]])
+        return np.concatenate([self.sums(n, p), ((p * (n * (z < most))[:, None]).T @ p).ravel(), [n @ cost]])
+
+    def longest(self, p: np.ndarray) -> float:
+        """How far the last step moved one of these rates at most."""
+        before, rate = self.last_two(p)
+        return float(np.abs(rate - before).max(initial=0.0))
 
 
 def fit_classifier(x: np.ndarray, y: np.ndarray, domains: int, rounds: int = 400, rate: float = 4.0, ridge: float = 1e-4) -> np.ndarray:
@@ -106,7 +131,7 @@ def _copies(rate: np.ndarray, key: pa.Array) -> np.ndarray:
     return np.floor(rate + u).astype(np.int32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang", id_col: str = "doc_id", text: str = "text", targets: dict[str, float] | None = None, temper: float = 0.5, grow: bool = False, least_rate: float = 0.0, train_rows: int = 4000, rounds: int = 100, tolerance: float = 1e-4) -> tuple[Mixer, DataFrame, np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang", id_col: str = "doc_id", text: str = "text", targets: dict[str, float] | None = None, temper: float = 0.5, grow: bool = False, least_rate: float = 0.0, train_rows: int = 4000, rounds: int = 100, tolerance: float = 1e-4, still: float = 1e-4) -> tuple[Mixer, DataFrame, np.ndarray, np.ndarray]:
     """The fitted mixer, the written table (id, n_words, posterior), target and reached words of each domain.
 
     targets: words of each domain as shares of all words; by default the tempered natural shares, share**temper. grow=True
@@ -137,21 +162,23 @@ def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang", id_col: str =
 
     table = written(docs.select(id_col, text).mapInArrow(measure, T.StructType([docs.schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])), "posteriors")
 
-    def total(of, width: int) -> np.ndarray:
-        """Sums over all documents of of(words, posteriors), an array a document."""
+    def total(of, width: int, most=lambda p: 0.0) -> np.ndarray:
+        """Sums over all documents of of(words, posteriors), an array a document, then the largest most(posteriors)."""
 
         def run(batches):
-            s = np.zeros(width)
+            s, top = np.zeros(width), 0.0
             for b in (b for b in batches if b.num_rows):
-                s += of(b.column("n_words").to_numpy().astype(float), b.column("posterior").flatten().to_numpy().reshape(-1, size)).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(s)], names=["i", "s"])
-
-        out = np.zeros(width)
-        for r in table.select("n_words", "posterior").mapInArrow(run, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():
-            out[r["i"]] = r["s"]
+                p = b.column("posterior").flatten().to_numpy().reshape(-1, size)
+                s += of(b.column("n_words").to_numpy().astype(float), p).reshape(-1)
+                top = max(top, most(p))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 1, dtype=np.int32)), pa.array([*s, top])], names=["i", "s"])
+
+        out = np.zeros(width + 1)
+        for r in table.select("n_words", "posterior").mapInArrow(run, "i int, s double").groupBy("i").agg(F.sum("s").alias("s"), F.max("s").alias("top")).collect():
+            out[r["i"]] = r["top"] if r["i"] == width else r["s"]
         return out
 
-    gram = total(lambda n, p: (p * n[:, None]).T @ p, size * size).reshape(size, size)
+    gram = total(lambda n, p: (p * n[:, None]).T @ p, size * size)[:-1].reshape(size, size)
     natural = gram.sum(axis=1)
     words = max(1.0, natural.sum())
     share = natural / words
@@ -159,26 +186,32 @@ def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang", id_col: str =
     aim = aim / max(aim.sum(), 1e-300) * words
     if grow:
         aim *= max(1.0, (natural / np.maximum(aim, 1e-300)).max())
-    pull = 1e-5 * gram
-    kept, reached, least, settled, step, used = mixer, natural, np.inf, False, np.zeros(size), 0
-    while not settled and used < rounds:
+    kept, reached, least, near, step, used = mixer, natural, np.inf, False, np.zeros(size), 0
+    while not near and used < rounds:  # the start: Newton steps on the dual, halved until they descend
         used += 1
-        sums = total(lambda n, p, m=mixer: m.sums(n, p), size + size * size + 1)
+        sums = total(mixer.dual_sums, size + size * size + 1)[:-1]
         d = mixer.direction
-        cost = sums[-1] + aim @ d + d @ pull @ d / 2
+        cost = sums[-1] + aim @ d + PULL * d @ gram @ d / 2
         if cost <= least - 1e-12 * abs(least) or used == 1:
             kept, reached, least = mixer, sums[:size], cost
-            slope = aim - reached + pull @ d
-            settled = bool(np.abs(slope).max() <= tolerance * words)
-            step = np.linalg.pinv(sums[size:-1].reshape(size, size) + pull, rcond=1e-12, hermitian=True) @ slope
+            slope = aim - reached + PULL * gram @ d
+            near = bool(np.abs(slope).max() <= tolerance * words)
+            step = np.linalg.pinv(sums[size:-1].reshape(size, size) + PULL * gram, rcond=1e-12, hermitian=True) @ slope
         else:
             step = step / 2
-            settled = bool(np.abs(step).max() < 1e-9)
+            near = bool(np.abs(step).max() < 1e-9)
         mixer = replace(kept, direction=kept.direction - step)
-    mixer = replace(kept, passes=used)
-    mixer = replace(mixer, missed=float(np.abs(reached - aim).max() / words), settled=settled)
+    mixer, settled = kept, False
+    inverse = np.linalg.pinv(gram, rcond=1e-12, hermitian=True) / (1 + PULL)
+    while not settled and used < 2 * rounds:
+        used += 1
+        mixer = replace(mixer, steps=(*mixer.steps, inverse @ (reached - aim)))
+        sums = total(mixer.sums, size, mixer.longest)
+        reached, mixer = sums[:size], replace(mixer, moved=float(sums[-1]))
+        settled = mixer.moved <= still
+    mixer = replace(mixer, missed=float(np.abs(reached - aim).max() / words), settled=settled, passes=used)
     if not settled:
-        warnings.warn(f"rates did not settle in {rounds} passes, targets are missed by {mixer.missed:.2%} of all words", stacklevel=2)
+        warnings.warn(f"rates still move by {mixer.moved:.2g} after {rounds} passes, targets are missed by {mixer.missed:.2%} of all words", stacklevel=2)
     return mixer, table, aim, reached
 
 

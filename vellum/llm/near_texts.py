@@ -1,7 +1,7 @@
 """One document of each group of near-duplicate texts: the SimHash index finds candidates, whole shingle sets decide.
 
-Texts are linked if the Jaccard similarity of their sets of `size`-word shingles is `percent` or more. Equal sets are one
-set from the start. Candidates are sets whose SimHash fingerprints (over the three-word shingles, as `simhash` makes them) differ
+Texts are linked if the Jaccard similarity of their sets of `size`-word shingles is `percent` or more. Equal sets, by 128 bits of two hashes and
+their size, are one set from the start. Candidates are sets whose SimHash fingerprints (over the three-word shingles, as `simhash` makes them) differ
 in at most `distance` bits, found exactly through its Gray-ordered index in `turns` orders, and whose sizes allow the
 similarity. Each candidate link is checked on the whole sets, so no pair that is less similar makes a link.
 
@@ -55,19 +55,37 @@ def _packed(h: np.ndarray, n: np.ndarray) -> list[bytes]:
 
 
 def _prints(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
-    """Each row's id and digest, and of its text the set's key and size, and the fingerprint."""
+    """Each row's id and digest, and of its text the set's key, a second hash and size, and the fingerprint."""
 
     def run(batches):
         K.lean()
         for batch in batches:
             for at, part in K.slices(K.column(batch.column(text)), 1 << 20):
                 h, n = shingle_sets(part, size)
-                key = pa.array([xxhash.xxh64_intdigest(x) for x in _packed(h, n)], pa.uint64()).view(pa.int64())
+                sets = _packed(h, n)
+                key, more = (pa.array([of(x) for x in sets], pa.uint64()).view(pa.int64()) for of in (_set_key, xxhash.xxh3_64_intdigest))
                 same = [batch.column(c).slice(at, len(part)) for c in (id_col, ROW)]
-                yield pa.RecordBatch.from_arrays([*same, key, pa.array(n.astype(np.int64)), pa.array(fingerprints_of(part).view(np.int64))], names=["id", ROW, "key", "n", "fp"])
+                yield pa.RecordBatch.from_arrays([*same, key, more, pa.array(n.astype(np.int64)), pa.array(fingerprints_of(part).view(np.int64))], names=["id", ROW, "key", "more", "n", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, ROW, text).mapInArrow(run, f"id {kind}, {ROW} binary, key long, n long, fp long")
+    return docs.select(id_col, ROW, text).mapInArrow(run, f"id {kind}, {ROW} binary, key long, more long, n long, fp long")
+
+
+def _set_key(packed: bytes) -> int:
+    return xxhash.xxh64_intdigest(packed)
+
+
+def _distinct(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`prints` and its distinct sets (key, n, fp, ROW). Sets are equal if key, second hash and size are; where only the key is, which is rare,
+    the rows of that key get one that the second hash has part in."""
+    while True:
+        kind = F.struct("more", "n")
+        distinct = written(prints.groupBy("key").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min(ROW).alias(ROW), (F.min(kind) != F.max(kind)).alias("several")), "distinct")
+        several = distinct.where("several").select("key", "several")
+        if several.isEmpty():
+            return prints, distinct
+        own = F.when(F.col("several"), F.xxhash64("key", "more", "n")).otherwise(F.col("key"))
+        prints = written(prints.join(several, "key", "left").withColumn("key", own).drop("several"), "prints")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text: str, size: int) -> DataFrame:
@@ -201,8 +219,7 @@ def _two_each(fp: np.ndarray, a: np.ndarray, b: np.ndarray, own: int) -> tuple[n
 
 def near_duplicates(docs: DataFrame, id_col: str, text: str, size: int, percent: int, distance: int = 11, turns: int = 3) -> DataFrame:
     """(id, ROW, key, root) for each row of `docs`, which has its digest in ROW: root names the component."""
-    prints = written(_prints(docs, id_col, text, size), "prints")
-    distinct = written(prints.groupBy("key").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min(ROW).alias(ROW)), "distinct")
+    prints, distinct = _distinct(written(_prints(docs, id_col, text, size), "prints"))
     nodes = distinct.select("key", "n", "fp", F.col("key").alias("root"))
     pairs = written(_candidates(nodes, distance, turns, percent, across=False), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
