@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -29,9 +30,14 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once: a Column that is used n times is otherwise computed n times, at each depth."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def count(c: Column, ranges: str) -> Column:
-    """Characters in the ranges."""
-    return F.regexp_count(c, F.lit(f"[{ranges}]"))
+    """Characters in the ranges; linear in the text, as one copy without them is made and not a match for each."""
+    return let(c, lambda x: F.length(x) - F.length(F.regexp_replace(x, f"[{ranges}]", "")))
 
 
 def alnum(c: Column) -> Column:
@@ -44,16 +50,22 @@ def any_of(c: Column, words: tuple[str, ...]) -> Column:
 
 def classify(c: Column) -> Column:
     """dialogue, sfx, english or noise, by the scripts in the text."""
-    clean = strip(c)
-    s = alnum(clean)
-    n = F.length(s)
-    letters, latin = F.regexp_count(clean, F.lit(r"\p{L}")), F.regexp_count(clean, F.lit("[A-Za-z]"))
-    kata, hira, kanji, hangul = count(s, KATAKANA), count(s, HIRAGANA), count(s, KANJI), count(s, HANGUL_WIDE)
+    clean = lambda x: F.struct(x.alias("clean"), alnum(x).alias("s"))
+    numbers = lambda t: F.struct(
+        F.length(t["clean"]).alias("size"), F.length(t["s"]).alias("n"), count(t["clean"], r"\p{L}").alias("letters"), count(t["clean"], "A-Za-z").alias("latin"), t["s"].rlike(r"^\p{Nd}+$").alias("digits"),
+        *[count(t["s"], r).alias(name) for name, r in (("kata", KATAKANA), ("hira", HIRAGANA), ("kanji", KANJI), ("hangul", HANGUL_WIDE))],
+    )
+    return let(let(let(strip(c), clean), numbers), _class_of)
+
+
+def _class_of(m: Column) -> Column:
+    """The class of a text by its numbers."""
+    n, kata, hira, kanji, hangul = (m[x] for x in ("n", "kata", "hira", "kanji", "hangul"))
     total = kata + hira + kanji + hangul
     rules = [
-        (clean == "", "noise"),
-        ((letters > 0) & (latin / letters > 0.20), "english"),
-        ((n == 0) | s.rlike(r"^\p{Nd}+$") | (total == 0), "noise"),
+        (m["size"] == 0, "noise"),
+        ((m["letters"] > 0) & (m["latin"] / m["letters"] > 0.20), "english"),
+        ((n == 0) | m["digits"] | (total == 0), "noise"),
         ((hangul >= 3) | ((hangul >= 2) & (n >= 3)), "dialogue"),
         ((hangul > 0) & (n <= 2), "sfx"),
         ((kanji >= 2) & (hira + kata == 0), "dialogue"),
@@ -86,16 +98,22 @@ def language_hint(c: Column) -> Column:
 
 def usable(c: Column) -> Column:
     """Whether a text is worth a translation."""
-    clean = strip(c)
-    marks = clean.rlike(r"(?U)^[\W_]+$")
-    return F.when(clean == "", False).when(marks, (F.length(clean) <= 6) & any_of(clean, PUNCTUATION_MARKS)).when(clean.rlike(f"[{CJK}]"), True).otherwise(clean.rlike("[A-Za-z0-9]") & (F.length(clean) <= 24))
+    def of(clean: Column) -> Column:
+        marks = clean.rlike(r"(?U)^[\W_]+$")
+        return F.when(clean == "", False).when(marks, (F.length(clean) <= 6) & any_of(clean, PUNCTUATION_MARKS)).when(clean.rlike(f"[{CJK}]"), True).otherwise(clean.rlike("[A-Za-z0-9]") & (F.length(clean) <= 24))
+
+    return let(strip(c), of)
 
 
 def strong_dialogue(c: Column) -> Column:
-    clean = strip(c)
-    hangul, kana, han = count(clean, HANGUL), count(clean, KANA), count(clean, HAN)
-    cjk = hangul + kana + han
-    return (cjk >= 4) & ((kana >= 3) | (hangul >= 3) | ((han >= 2) & (cjk >= 5)) | ((F.length(alnum(clean)) >= 6) & clean.rlike("[。！？!?…]")))
+    measure = lambda x: F.struct(x.alias("clean"), *[count(x, r).alias(name) for name, r in (("hangul", HANGUL), ("kana", KANA), ("han", HAN))])
+
+    def of(m: Column) -> Column:
+        hangul, kana, han = (m[x] for x in ("hangul", "kana", "han"))
+        cjk = hangul + kana + han
+        return (cjk >= 4) & ((kana >= 3) | (hangul >= 3) | ((han >= 2) & (cjk >= 5)) | ((F.length(alnum(m["clean"])) >= 6) & m["clean"].rlike("[。！？!?…]")))
+
+    return let(let(strip(c), measure), of)
 
 
 def fragment(c: Column) -> Column:
@@ -105,14 +123,18 @@ def fragment(c: Column) -> Column:
 
 def sound_fragment(c: Column) -> Column:
     """Obvious sound effects: short, of one character, or of a known sound."""
-    s = fragment(c)
+    return let(fragment(c), _sound)
+
+
+def _sound(s: Column) -> Column:
     one = F.size(F.array_distinct(F.split(s, ""))) <= 1
     return (F.length(s) <= 1) | one | s.isin(*SOUND_TOKENS) | reduce(lambda a, b: a | b, [s.startswith(p) for p in SOUND_PREFIXES])
 
 
 def erase_only(c: Column, width: Column, height: Column, pale: Column, dark: Column) -> Column:
     """Short kana beside dialogue that is only erased."""
-    return ~sound_fragment(c) & (count(c, HAN) + count(c, HANGUL) == 0) & (count(c, KANA) >= 2) & (F.length(fragment(c)) <= 4) & (width <= F.greatest(F.lit(42), (height * 0.74).cast("int"))) & ((pale >= 0.34) | (dark >= 0.16))
+    short = let(fragment(c), lambda s: ~_sound(s) & (F.length(s) <= 4))
+    return short & (count(c, HAN) + count(c, HANGUL) == 0) & (count(c, KANA) >= 2) & (width <= F.greatest(F.lit(42), (height * 0.74).cast("int"))) & ((pale >= 0.34) | (dark >= 0.16))
 
 
 def unescape_entities(c: Column) -> Column:
@@ -135,17 +157,25 @@ def clean_answer(c: Column) -> Column:
     """A provider's answer without fences, quotes and a leading label; at most 360 characters."""
     s = squeeze(F.regexp_replace(unescape_entities(F.coalesce(c, F.lit(""))), r"(?i)```(?:json)?", ""))
     s = F.regexp_replace(s, "^[\"'` ]+|[\"'` ]+$", "")
-    return F.left(F.when(F.lower(s).startswith("translation:"), strip(F.substring(s, len("translation:") + 1, 1 << 30))).otherwise(s), F.lit(360))
+    return let(s, lambda x: F.left(F.when(F.lower(x).startswith("translation:"), strip(F.substring(x, len("translation:") + 1, 1 << 30))).otherwise(x), F.lit(360)))
+
+
+def distinct_cjk(c: Column) -> Column:
+    """The CJK characters of a text, each once, in the order of their first places."""
+    return F.array_remove(F.array_distinct(F.split(F.regexp_replace(c, f"[^{CJK}]", ""), "")), "")
 
 
 def valid_answer(source: Column, answer: Column) -> Column:
     """Whether a cleaned answer is a translation: not empty, a placeholder, too long or an echo of the source."""
-    text = clean_answer(answer)
-    own = F.array_distinct(F.regexp_extract_all(source, F.lit(f"([{CJK}])"), F.lit(1)))
-    out = F.array_distinct(F.regexp_extract_all(text, F.lit(f"([{CJK}])"), F.lit(1)))
-    echo = (F.size(own) > 0) & (F.size(F.array_intersect(own, out)) / F.greatest(F.lit(1), F.size(own)) > 0.35)
-    bare = (F.size(own) > 0) & ~text.rlike("[A-Za-z0-9]")
-    return F.when((text == "") | text.startswith("[TL:") | (F.length(text) > 360), False).when(echo, False).when(bare, (count(source, CJK) <= 2) & (F.length(text) <= 8)).otherwise(True)
+    known = let(clean_answer(answer), lambda text: F.struct(text.alias("text"), F.length(text).alias("n"), distinct_cjk(source).alias("own"), distinct_cjk(text).alias("out")))
+
+    def of(a: Column) -> Column:
+        some = F.size(a["own"]) > 0
+        echo = some & (F.size(F.array_intersect(a["own"], a["out"])) / F.greatest(F.lit(1), F.size(a["own"])) > 0.35)
+        bare = some & ~a["text"].rlike("[A-Za-z0-9]")
+        return F.when((a["n"] == 0) | a["text"].startswith("[TL:") | (a["n"] > 360), False).when(echo, False).when(bare, (count(source, CJK) <= 2) & (a["n"] <= 8)).otherwise(True)
+
+    return let(known, of)
 
 
 def placeholder(c: Column) -> Column:
@@ -154,8 +184,7 @@ def placeholder(c: Column) -> Column:
 
 
 def renderable(c: Column) -> Column:
-    s = strip(c)
-    return (s != "") & ~s.startswith("[TL:") & s.rlike(r"[\p{L}\p{N}]")
+    return let(strip(c), lambda s: (s != "") & ~s.startswith("[TL:") & s.rlike(r"[\p{L}\p{N}]"))
 
 
 def budget(width: Column, height: Column) -> Column:

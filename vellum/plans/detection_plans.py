@@ -10,7 +10,7 @@ from ..operators import detections as D
 from ..operators import service
 from ..operators.routing import best_bubble
 from ..sources import fixtures as fx
-from .fixture_sql import BUBBLES, REGIONS, RESPONSES, TEXTS, cnt, strip
+from .fixture_sql import BUBBLES, PLACED, REGIONS, RESPONSES, TEXTS, cnt, strip
 from .text_plans import FRAGMENT, SOUND
 
 BOX = ("x1", "y1", "x2", "y2")
@@ -35,7 +35,7 @@ def _pixels(spark, d):
 
 
 def _lines(spark, d):
-    return fx.regions(spark, d).join(fx.texts(spark, d), [*KEY])
+    return fx.placed(fx.regions(spark, d), fx.texts(spark, d))
 
 
 def _layout(spark, d):
@@ -124,7 +124,7 @@ QUERIES = {
 }
 
 _INT = "CAST(trunc({}) AS INT)".format
-_LINES = f"{REGIONS}, {TEXTS}, l AS (SELECT r.*, {strip('t.text')} AS said FROM fx_regions r JOIN fx_texts t USING (page_id, region_id))"
+_LINES = f"{REGIONS}, {TEXTS}, {PLACED.format(boxes='fx_regions')}, l AS (SELECT *, {strip('text')} AS said FROM placed)"
 _ROUTED = f"""{REGIONS}, {BUBBLES}, met AS (SELECT r.page_id, r.region_id, b.bubble_id, greatest(0, least(r.x2, b.x2) - greatest(r.x1, b.x1)) * greatest(0, least(r.y2, b.y2) - greatest(r.y1, b.y1)) / greatest(1, (r.x2 - r.x1) * (r.y2 - r.y1))::DOUBLE AS share FROM fx_regions r JOIN fx_bubbles b USING (page_id)),
 best AS (SELECT page_id, region_id, arg_max(bubble_id, {{'s': share, 'b': -bubble_id}}) AS bubble_idx FROM met WHERE share >= 0.18 GROUP BY ALL),
 lay AS (SELECT r.*, coalesce(best.bubble_idx, -1) AS bubble_idx FROM fx_regions r LEFT JOIN best USING (page_id, region_id))"""

@@ -23,6 +23,9 @@ fx_texts AS (SELECT doc_id AS page_id, CAST(k AS INT) AS region_id,
       WHEN 0 THEN '{PROFILES[0]}' WHEN 1 THEN '{PROFILES[1]}' WHEN 2 THEN '{PROFILES[2]}' WHEN 3 THEN '{PROFILES[3]}' ELSE '{PROFILES[4]}' END) END AS text
 FROM fx_items)"""
 
+#: fixtures.placed(): every item with a box of its page.
+PLACED = """placed AS (SELECT b.* REPLACE (t.region_id AS region_id), t.text FROM fx_texts t JOIN (SELECT page_id, count(*) AS n FROM fx_regions GROUP BY page_id) c USING (page_id) JOIN {boxes} b ON b.page_id = t.page_id AND b.region_id = t.region_id % c.n)"""
+
 BUBBLES = """fx_bubbles AS (SELECT o.o_orderkey AS page_id, CAST(b.b AS INT) AS bubble_id,
   CAST((o.o_custkey * 29 + b.b * 350) % 600 AS INT) AS x1, CAST((o.o_custkey * 13 + b.b * 500) % 800 AS INT) AS y1,
   CAST(least(800, (o.o_custkey * 29 + b.b * 350) % 600 + 120 + o.o_custkey % 180) AS INT) AS x2,

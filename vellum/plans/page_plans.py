@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import layout, report, routing, translate
 from ..sources import fixtures as fx
 from . import text_plans as TP
-from .fixture_sql import RESPONSES, TEXTS, cnt, strip
+from .fixture_sql import PLACED, RESPONSES, TEXTS, cnt, strip
 from .region_plans import SHARES
 
 KINDS = ("external_ko", "external_zh", "runtime", "runtime", "runtime")
@@ -16,7 +16,7 @@ KINDS = ("external_ko", "external_zh", "runtime", "runtime", "runtime")
 
 def items(spark, d):
     """Regions with texts, on the page kinds and providers that the roles tell apart; no image, so tones are 0."""
-    r = routing.best_bubble(fx.regions(spark, d), fx.bubbles(spark, d)).join(fx.texts(spark, d), ["page_id", "region_id"])
+    r = fx.placed(routing.best_bubble(fx.regions(spark, d), fx.bubbles(spark, d)), fx.texts(spark, d))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("page_id") % 5 + 1).cast("int"))
     return r.withColumns({"page_kind": kind, "provider": F.when(F.col("region_id") % 2 == 0, "paddleocr_ko").otherwise("easyocr"), "pale": F.lit(0.0), "dark": F.lit(0.0)})
 
@@ -96,8 +96,8 @@ ROLE = f"""CASE WHEN page_kind = 'external_ko' AND {_HG} = 0 AND NOT (starts_wit
   WHEN {_W} < 28 AND {_H} < 84 AND {_N} <= 5 THEN 'floating_too_small'
   WHEN ({_SHARE} > 0.065 OR {_W} > 416) AND {_HN} = 0 AND {_N} < 10 THEN 'floating_too_large' ELSE 'dialogue' END"""
 _SHORT = f"(bubble_idx = -1 AND NOT {TP.SOUND} AND {_CJ} >= 2 AND length({TP.FRAGMENT}) <= 8 AND NOT ({_W} < 28 AND {_H} < 84 AND length({TP.FRAGMENT}) <= 5) AND ({_HN} >= 1 OR {_HG} >= 2))"
-DECIDED = f"""{SHARES}, {TEXTS}, {TP.CLASSIFY}, items AS (SELECT b.*, t.text, CASE page_id % 5 WHEN 0 THEN 'external_ko' WHEN 1 THEN 'external_zh' ELSE 'runtime' END AS page_kind,
-  CASE WHEN region_id % 2 = 0 THEN 'paddleocr_ko' ELSE 'easyocr' END AS provider FROM best b JOIN fx_texts t USING (page_id, region_id)),
+DECIDED = f"""{SHARES}, {TEXTS}, {TP.CLASSIFY}, {PLACED.format(boxes="best")}, items AS (SELECT *, CASE page_id % 5 WHEN 0 THEN 'external_ko' WHEN 1 THEN 'external_zh' ELSE 'runtime' END AS page_kind,
+  CASE WHEN region_id % 2 = 0 THEN 'paddleocr_ko' ELSE 'easyocr' END AS provider FROM placed),
 roles AS (SELECT i.*, c.text_class, {ROLE} AS role, {TP.USABLE} AS usable, {_SHORT} AS short FROM items i JOIN classified c USING (page_id, region_id)),
 decided AS (SELECT *, CASE WHEN role IN ({", ".join(map(repr, layout.REJECTING))}) THEN role
   WHEN text_class <> 'dialogue' AND NOT (text_class = 'sfx' AND bubble_idx <> -1 AND usable) AND NOT short THEN concat('classification_', text_class)

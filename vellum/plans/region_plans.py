@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import dedupe, grouping, routing
 from ..sources import fixtures as fx
-from .fixture_sql import BUBBLES, REGIONS, TEXTS
+from .fixture_sql import BUBBLES, PLACED, REGIONS, TEXTS
 
 
 
@@ -64,7 +64,7 @@ def _modal(spark, d):
 
 def _crops(spark, d):
     r = fx.regions(spark, d).select("page_id", "region_id", "score", F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("y2") - F.col("y1")).alias("h"))
-    return grouping.combined_crops(fx.texts(spark, d).join(r, ["page_id", "region_id"]).withColumn("group_id", (F.col("region_id") % 2).cast("int")))
+    return grouping.combined_crops(fx.placed(r, fx.texts(spark, d)).withColumn("group_id", (F.col("region_id") % 2).cast("int")))
 
 
 QUERIES = {
@@ -199,6 +199,6 @@ SELECT page_id, group_id, region_id, CAST(CASE WHEN n >= 4 AND len(ws) >= 4 AND
 n AS (SELECT page_id, cluster, route, count(*) AS n FROM met GROUP BY ALL), top AS (SELECT page_id, cluster, max(score) AS confidence FROM met GROUP BY ALL)
 SELECT c.page_id, c.cluster, coalesce(m.route, 'bubble_dialogue') AS route, coalesce(t.confidence, 0.0::DOUBLE) AS confidence FROM items c
 LEFT JOIN (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY page_id, cluster ORDER BY n DESC, route) = 1) m USING (page_id, cluster) LEFT JOIN top t USING (page_id, cluster)""",
-    "crop_texts": f"""WITH {TEXTS}, {REGIONS}, l AS (SELECT t.page_id, CAST(t.region_id % 2 AS INT) AS group_id, t.region_id, trim(t.text, ' ') AS text, r.score, r.x1 AS x, round_even(r.y1 / greatest(8.0::DOUBLE, (r.y2 - r.y1) * 0.7::DOUBLE), 0) AS band FROM fx_texts t JOIN fx_regions r USING (page_id, region_id))
+    "crop_texts": f"""WITH {TEXTS}, {REGIONS}, {PLACED.format(boxes="fx_regions")}, l AS (SELECT page_id, CAST(region_id % 2 AS INT) AS group_id, region_id, trim(text, ' ') AS text, score, x1 AS x, round_even(y1 / greatest(8.0::DOUBLE, (y2 - y1) * 0.7::DOUBLE), 0) AS band FROM placed)
 SELECT page_id, group_id, coalesce(string_agg(text, ' ' ORDER BY band, x, region_id) FILTER (ok), '') AS text, coalesce(round(sum(score * greatest(1, length(text))) FILTER (ok) / sum(greatest(1, length(text))) FILTER (ok), 6), 0.0::DOUBLE) AS confidence FROM (SELECT *, score >= 0.35 AND text <> '' AS ok FROM l) GROUP BY ALL""",
 }

@@ -37,6 +37,14 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where("k = 0 or at <= n").select(F.col("doc_id").alias("page_id"), F.col("k").cast("int").alias("region_id"), F.when(F.col("doc_id") % 6 == 5, part).otherwise(_written(F.lower(part))).alias("text"))
 
 
+def placed(boxes: DataFrame, items: DataFrame) -> DataFrame:
+    """Every item with a box of its page: item k has the box k modulo their number, and its own number as region_id. Boxes of a page are
+    numbered from 0."""
+    n = boxes.groupBy("page_id").agg(F.count(F.lit(1)).alias("__n"))
+    dealt = items.join(n, "page_id").withColumn("__box", (F.col("region_id") % F.col("__n")).cast("int")).drop("__n")
+    return dealt.join(boxes.withColumnRenamed("region_id", "__box"), ["page_id", "__box"]).drop("__box")
+
+
 def _written(low):
     """Letters of a lower-case text in the script profile of its document."""
     out = F
