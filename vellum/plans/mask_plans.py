@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import areas as A
 from ..operators import bubbles as B
 from ..operators import runs
 from ..sources import fixtures as fx
@@ -33,7 +34,34 @@ def _clusters(spark, d):
     return B.consolidated(*_masks(spark, d), boxes, fx.sizes(spark, d))
 
 
+def _items(spark, d):
+    """Each claim as a layout item: its ink's bounds, two pixels larger."""
+    pad = lambda c, by: (F.col(c) + by).alias(c)
+    item = (F.col("box_id") * 1000 + F.col("bubble_idx") + 1).cast("int").alias("item_id")
+    items = _claims(spark, d).select("page_id", item, "bubble_idx", pad("x1", -2), pad("y1", -2), pad("x2", 2), pad("y2", 2)).join(fx.sizes(spark, d), "page_id")
+    return items.persist()  # an allowed mask reads its items about ten times
+
+
+def _allowed(spark, d):
+    """Every tenth or so of the floating items erases a box at its left."""
+    items = _items(spark, d)
+    erased = items.where("bubble_idx < 0 AND item_id % 2000 = 0").select("page_id", "item_id", "x1", "y1", (F.col("x1") + 12).alias("x2"), "y2")
+    return A.allowed_masks(items, fx.contents(spark, d), fx.ink(spark, d), erased)
+
+
+def _clipped(spark, d):
+    """Blocks of three lines, the second shorter, at three places of each item."""
+    blocks = _items(spark, d).withColumn("place", F.explode(F.array(*map(F.lit, range(3)))))
+    blocks = blocks.withColumn("line", F.explode(F.array(*map(F.lit, range(3)))))
+    x, y = F.col("x1") + F.col("place") * 9 - 4, F.col("y1") + F.col("place") + F.col("line") * 2
+    wide = F.when(F.col("line") == 1, 14).otherwise(20)
+    return A.clipped(blocks.select("page_id", "item_id", "place", "w", "h", x.alias("x1"), y.alias("y1"), (x + wide).alias("x2"), (y + 2).alias("y2")), _allowed(spark, d))
+
+
 QUERIES = {
+    "allowed_masks": _allowed,
+    "clipped_blocks": _clipped,
+    "shrunk_boxes": lambda spark, d: A.shrunk_boxes(_items(spark, d), _allowed(spark, d), safety=1),
     "mask_union": lambda spark, d: runs.union(*_masks(spark, d)),
     "mask_intersection": lambda spark, d: runs.intersection(*_masks(spark, d)),
     "mask_difference": lambda spark, d: runs.difference(*_masks(spark, d)),
@@ -80,6 +108,33 @@ won AS (SELECT o.page_id, o.box_id, o.bubble_idx, array_to_string(o.earlier, ','
 SELECT page_id, CAST(box_id AS INT) AS box_id, bubble_idx, earlier, n, x1, y1, x2, y2, CASE WHEN bubble_idx < 0 THEN 'floating_dialogue' ELSE 'bubble_dialogue' END AS route, CASE WHEN bubble_idx < 0 THEN 'careful_erase' ELSE 'erase' END AS action,
   CASE WHEN bubble_idx < 0 THEN 'stroke' ELSE 'bubble_interior' END AS mask_mode, CASE WHEN bubble_idx < 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS overlap FROM won WHERE bubble_idx >= 0 OR n > 30"""
 
+_C = lambda x, most: f"greatest(0, least({most} - 1, {x}))"
+
+
+def _round(x: str) -> str:
+    return f"CAST(round_even(CAST({x} AS DOUBLE), 0) AS INT)"
+
+
+#: Items of claims with their coerced boxes and room, then all pixels of each item's mask.
+_ITEMS = f"""item AS (SELECT c.page_id, c.box_id * 1000 + c.bubble_idx + 1 AS item_id, c.bubble_idx, c.x1 - 2 AS rx1, c.y1 - 2 AS ry1, c.x2 + 2 AS rx2, c.y2 + 2 AS ry2, s.w, s.h FROM claimed c JOIN size s USING (page_id)),
+"""
+ALLOWED = "WITH " + CLAIMS.removeprefix("WITH ").replace("SELECT page_id, CAST(box_id AS INT) AS box_id, bubble_idx", "claimed AS (SELECT page_id, CAST(box_id AS INT) AS box_id, bubble_idx").replace("FROM won WHERE bubble_idx >= 0 OR n > 30", "FROM won WHERE bubble_idx >= 0 OR n > 30)").replace("\nclaimed AS", ",\nclaimed AS") + f""",
+{_ITEMS}co AS (SELECT *, {_C("rx1", "w")} AS x1, {_C("ry1", "h")} AS y1, greatest({_C("rx1", "w")} + 1, least(w, rx2)) AS x2, greatest({_C("ry1", "h")} + 1, least(h, ry2)) AS y2 FROM item),
+dim AS (SELECT *, x2 - x1 AS bw, y2 - y1 AS bh, greatest(10, {_round("w * 0.035")}) AS mx, greatest(4, {_round("h * 0.010")}) AS my FROM co),
+room AS (SELECT *, CASE WHEN bubble_idx >= 0 THEN 0 WHEN bw >= bh * 1.45::DOUBLE THEN least(8, greatest(2, {_round("bw * 0.025")})) WHEN bh > bw * 1.35::DOUBLE THEN least(10, greatest(2, {_round("bw * 0.10")})) ELSE least(mx, greatest(4, {_round("bw * 0.10")})) END AS dx,
+  CASE WHEN bubble_idx >= 0 THEN 0 WHEN bw >= bh * 1.45::DOUBLE THEN least(6, greatest(2, {_round("bh * 0.05")})) WHEN bh > bw * 1.35::DOUBLE THEN least(my, greatest(2, {_round("bh * 0.025")})) ELSE least(my, greatest(2, {_round("bh * 0.04")})) END AS dy FROM dim),
+draw AS (SELECT page_id, item_id, bubble_idx, w, h, x1, y1, x2, y2, {_C("x1 - dx", "w")} AS l, {_C("y1 - dy", "h")} AS t, least(w, greatest({_C("x1 - dx", "w")} + 1, least(w, x2 + dx)) + 1) AS r, least(h, greatest({_C("y1 - dy", "h")} + 1, least(h, y2 + dy)) + 1) AS b FROM room),
+px AS (SELECT page_id, item_id, bubble_idx, x1, y1, y2, w, h, y, unnest(range(l, r)) AS x FROM (SELECT *, unnest(range(t, b)) AS y FROM draw)),
+hit AS (SELECT px.page_id, px.item_id, px.x, px.y FROM px JOIN bub ON bub.page_id = px.page_id AND bub.bubble_id = px.bubble_idx AND bub.p = px.y * {_ROW} + px.x),
+base AS (SELECT page_id, item_id, x, y FROM px WHERE bubble_idx < 0 UNION ALL SELECT * FROM hit UNION ALL SELECT page_id, item_id, x, y FROM px WHERE bubble_idx >= 0 AND (page_id, item_id) NOT IN (SELECT (page_id, item_id) FROM hit)),
+era AS (SELECT page_id, item_id, greatest(0, ex1 - 4) AS ex1, greatest(0, ey1 - 4) AS ey1, least(w, ex2 + 4) AS ex2, least(h, ey2 + 4) AS ey2 FROM (SELECT page_id, item_id, w, h, {_C("rx1", "w")} AS ex1, {_C("ry1", "h")} AS ey1,
+  greatest({_C("rx1", "w")} + 1, least(w, rx1 + 12)) AS ex2, greatest({_C("ry1", "h")} + 1, least(h, ry2)) AS ey2 FROM item WHERE bubble_idx < 0 AND item_id % 2000 = 0)),
+dark AS (SELECT base.page_id, base.item_id, base.x, base.y FROM base JOIN era USING (page_id, item_id) JOIN ink ON ink.page_id = base.page_id AND ink.p = base.y * {_ROW} + base.x WHERE NOT (base.x >= ex1 AND base.x < ex2 AND base.y >= ey1 AND base.y < ey2)),
+brush AS (SELECT unnest([-4, -3, -2, -1, 0, 1, 2, 3, 4]) AS ky, unnest([{", ".join(map(str, A.BRUSH))}]) AS half), near AS (SELECT ky, unnest(range(-half, half + 1)) AS kx FROM brush),
+gone AS (SELECT DISTINCT page_id, item_id, x + kx AS x, y + ky AS y FROM dark CROSS JOIN near), asked AS (SELECT base.* FROM base JOIN era USING (page_id, item_id)),
+kept AS (SELECT * FROM asked EXCEPT SELECT * FROM gone), ok AS (SELECT a.page_id, a.item_id FROM (SELECT page_id, item_id, count(*) AS n FROM asked GROUP BY ALL) a JOIN (SELECT page_id, item_id, count(*) AS m FROM kept GROUP BY ALL) k USING (page_id, item_id) WHERE m >= greatest(80, CAST(trunc(n * 0.18::DOUBLE) AS INT))),
+allow AS (SELECT base.* FROM base ANTI JOIN ok USING (page_id, item_id) UNION ALL SELECT kept.* FROM kept SEMI JOIN ok USING (page_id, item_id))"""
+
 #: Components and rectangles are held against plain rasters in the tests.
 SQL = {
     "mask_union": _runs("a OR b"),
@@ -88,4 +143,8 @@ SQL = {
     "mask_complement": _runs("NOT b"),
     "mask_measures": f"WITH {PIXELS} SELECT page_id, bubble_id, count(*) AS n, CAST(min(p % {_ROW}) AS INT) AS x1, CAST(min(p // {_ROW}) AS INT) AS y1, CAST(max(p % {_ROW}) + 1 AS INT) AS x2, CAST(max(p // {_ROW}) + 1 AS INT) AS y2 FROM bub GROUP BY ALL",
     "bubble_claims": CLAIMS,
+    "allowed_masks": f"""{ALLOWED} SELECT page_id, CAST(item_id AS INT) AS item_id, CAST(y AS INT) AS y, CAST(min(x) AS INT) AS x_start, CAST(max(x) + 1 AS INT) AS x_end FROM (SELECT *, x - row_number() OVER (PARTITION BY page_id, item_id, y ORDER BY x) AS island FROM allow) GROUP BY page_id, item_id, y, island""",
+    "clipped_blocks": f"""{ALLOWED}, line AS (SELECT page_id, item_id, place, w, h, x, y, x + CASE WHEN k = 1 THEN 14 ELSE 20 END AS x2, y + 2 AS y2 FROM (SELECT *, rx1 + place * 9 - 4 AS x, ry1 + place + k * 2 AS y FROM (SELECT *, unnest(range(3)) AS k FROM (SELECT *, unnest(range(3)) AS place FROM item)))),
+type AS (SELECT page_id, item_id, place, unnest(range(x, x2)) AS px, py FROM (SELECT *, unnest(range(y, y2)) AS py FROM line)), bad AS (SELECT page_id, item_id, place, bool_or(x < 0 OR y < 0 OR x2 > w OR y2 > h) AS off FROM line GROUP BY ALL)
+SELECT page_id, CAST(item_id AS INT) AS item_id, CAST(place AS INT) AS place, count(*) AS n, count(*) FILTER (off OR a.x IS NULL) AS clipped FROM type t JOIN bad USING (page_id, item_id, place) LEFT JOIN allow a ON a.page_id = t.page_id AND a.item_id = t.item_id AND a.x = t.px AND a.y = t.py GROUP BY ALL""",
 }
