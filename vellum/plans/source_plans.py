@@ -46,8 +46,12 @@ _TAGS = "concat(html, '<img class=\"a\" data-src=\"http://x/', page_id, '.png\"
 
 
 def folder(spark) -> str:
-    """A new folder for a stream's files, in the shared one where there is one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vellum-")
+    """A new folder for a stream's files in spark.checkpoint.dir; where that is unset, a temporary one, on a local master only."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="vellum-")
     return f"{at.rstrip('/')}/vellum/stream-{uuid.uuid4().hex}"
 
 
