@@ -215,7 +215,13 @@ def test_clusters_of_bubbles_and_of_the_open_page(spark):
     assert {k: (r.x1, r.y1, r.x2, r.y2) for k, r in got.items()} == {(4, 0): (61, 41, 110, 50), (4, 1): (61, 151, 90, 160), (-1, 0): (301, 301, 331, 321)}  # closing by an even kernel moves strokes by one
     assert [(got[k].route, got[k].action, got[k].mask_mode, got[k].confidence) for k in sorted(got)] == [("floating_dialogue", "careful_erase", "stroke", 0.7), ("onomatopoeia", "erase", "bubble_interior", 0.9), ("bubble_dialogue", "erase", "bubble_interior", 0.5)]
     a, b = got[4, 0], got[4, 1]
-    assert a.gy2 < b.gy2 and a.gy1 < b.gy1 and abs(a.gy2 - b.gy1) <= 2  # the bubble is dealt between them
+    # the bubble, 3 pixels less at its border, is dealt to the nearest box (with its right and lower edge), ties to the first
+    far = lambda x, y, r: max(0, r.x1 - x, x - r.x2) ** 2 + max(0, r.y1 - y, y - r.y2) ** 2
+    zone = {(x, y): far(x, y, b) < far(x, y, a) for x in range(43, 157) for y in range(23, 217)}
+    for r, second in ((a, False), (b, True)):
+        own = [p for p, of in zone.items() if of == second]
+        xs, ys = [x for x, _ in own], [y for _, y in own]
+        assert (r.gx1, r.gy1, r.gx2, r.gy2) == (max(46, min(xs)), max(30, min(ys)), min(154, max(xs)), min(210, max(ys)))
     assert min(a.gx1, b.gx1) >= 46 and max(a.gx2, b.gx2) <= 154 and a.gy1 >= 30 and b.gy2 <= 210  # 5 % inside the bubble
     assert (got[-1, 0].gx1, got[-1, 0].gy1, got[-1, 0].gx2, got[-1, 0].gy2) == (299, 299, 332, 332 - 10)
     assert B.consolidated(df(ink).limit(0), df(bubble, ", bubble_id int"), routed, sizes).count() == 0
