@@ -217,10 +217,10 @@ def encode(docs: DataFrame, path: str, pattern: str = RUNS, text: str = "text",
         data = pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(offs * 4), pa.py_buffer(b"".join(packed))]).cast(pa.binary())
         return pa.table([*[table.column(f.name) for f in keep], pa.array(np.diff(offs)), data], names=[*[f.name for f in keep], "n_tokens", "ids"])
 
-    words = dealt.groupBy(BLOCK).applyInArrow(ask, f"{BUCKET} int, {BLOCK} int, sizes binary, words binary")
-    told = words.groupBy(BUCKET).applyInArrow(merge, f"{BLOCK} int, {BUCKET} int, sizes binary, ids binary")
+    words = dealt.groupBy(BLOCK).applyInArrow(K.tidy(ask), f"{BUCKET} int, {BLOCK} int, sizes binary, words binary")
+    told = words.groupBy(BUCKET).applyInArrow(K.tidy(merge), f"{BLOCK} int, {BUCKET} int, sizes binary, ids binary")
     schema = T.StructType([*keep, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return dealt.groupBy(BLOCK).cogroup(told.groupBy(BLOCK)).applyInArrow(put, schema)
+    return dealt.groupBy(BLOCK).cogroup(told.groupBy(BLOCK)).applyInArrow(K.tidy(put), schema)
 
 
 @lru_cache(2)
@@ -262,7 +262,7 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", out: str = "decoded",
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keep], *cols], names=[*[f.name for f in keep], *(["ids_sha256", "decoded_sha256"] if digests else [out])])
 
     more = [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] if digests else [T.StructField(out, T.BinaryType())]
-    return coded.mapInArrow(run, T.StructType([*keep, *more]))
+    return coded.mapInArrow(K.tidy(run), T.StructType([*keep, *more]))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkernel import lean
+from .textkernel import lean, tidy
 
 
 _own: dict[str, str] = {}
@@ -130,7 +130,7 @@ def packed_blocks(docs: DataFrame, size: int, block_bytes: int, settled: bool =
                     sent.append(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array(block[order][cut]), pa.array(sent, pa.binary())], names=[BLOCK, "rows"])
 
-    return dealt.mapInArrow(pack, f"{BLOCK} int, rows binary")
+    return dealt.mapInArrow(tidy(pack), f"{BLOCK} int, rows binary")
 
 
 def unpacked(table: pa.Table) -> pa.Table:

@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang", id_col: str =
             for at, part in K.slices(K.column(b.column("__t")), 1 << 19, 512):
                 yield pa.RecordBatch.from_arrays([b.column("__d").slice(at, len(part)), pa.array([x.tobytes() for x in pair_shares(part)[1]], pa.binary())], names=["d", "x"])
 
-    got = picked.mapInArrow(sample, "d string, x binary").toPandas().sort_values(["d", "x"], kind="stable")
+    got = picked.mapInArrow(K.tidy(sample), "d string, x binary").toPandas().sort_values(["d", "x"], kind="stable")
     domains = tuple(sorted(got["d"].unique())) or ("all",)
     if targets and (unknown := sorted(set(targets) - set(domains))):
         raise ValueError(f"no labelled document is of {unknown}")
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang", id_col: str =
                 n, s = pair_shares(part)
                 yield pa.RecordBatch.from_arrays([b.column(id_col).slice(at, len(part)), pa.array(n.astype(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(mixer.posterior(s).ravel()), size).cast(pa.list_(pa.float64()))], names=[id_col, "n_words", "posterior"])
 
-    table = written(docs.select(id_col, text).mapInArrow(measure, T.StructType([docs.schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])), "posteriors")
+    table = written(docs.select(id_col, text).mapInArrow(K.tidy(measure), T.StructType([docs.schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])), "posteriors")
 
     def total(of, width: int, most=lambda p: 0.0) -> np.ndarray:
         """Sums over all documents of of(words, posteriors), an array a document, then the largest most(posteriors)."""
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang", id_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 1, dtype=np.int32)), pa.array([*s, top])], names=["i", "s"])
 
         out = np.zeros(width + 1)
-        for r in table.select("n_words", "posterior").mapInArrow(run, "i int, s double").groupBy("i").agg(F.sum("s").alias("s"), F.max("s").alias("top")).collect():
+        for r in table.select("n_words", "posterior").mapInArrow(K.tidy(run), "i int, s double").groupBy("i").agg(F.sum("s").alias("s"), F.max("s").alias("top")).collect():
             out[r["i"]] = r["top"] if r["i"] == width else r["s"]
         return out
 
@@ -224,7 +224,7 @@ def rated(table: DataFrame, mixer: Mixer, id_col: str = "doc_id") -> DataFrame:
             rate = mixer.rates(b.column("posterior").flatten().to_numpy().reshape(-1, len(mixer.domains)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(rate), pa.array(_copies(rate, b.column(KEY)))], names=[*names, "rate", "copies"])
 
-    return table.select("*", _key(id_col)).mapInArrow(run, T.StructType([*table.schema.fields, T.StructField("rate", T.DoubleType()), T.StructField("copies", T.IntegerType())]))
+    return table.select("*", _key(id_col)).mapInArrow(K.tidy(run), T.StructType([*table.schema.fields, T.StructField("rate", T.DoubleType()), T.StructField("copies", T.IntegerType())]))
 
 
 def realised(docs: DataFrame, mixer: Mixer, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,7 +238,7 @@ def realised(docs: DataFrame, mixer: Mixer, id_col: str = "doc_id", text: str =
                 copies = _copies(mixer.rates(mixer.posterior(pair_shares(part)[1])), own.column(KEY))
                 yield own.select(names).take(pa.array(np.repeat(np.arange(len(part)), copies)))
 
-    return docs.select("*", _key(id_col)).mapInArrow(run, docs.schema)
+    return docs.select("*", _key(id_col)).mapInArrow(K.tidy(run), docs.schema)
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def _prints(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
     def run(batches):
         K.lean()
         for batch in batches:
-            for at, part in K.slices(K.column(batch.column(text)), 1 << 20):
+            for at, part in K.slices(K.column(batch.column(text)), 1 << 18):
                 h, n = shingle_sets(part, size)
                 sets = _packed(h, n)
                 key, more = (pa.array([of(x) for x in sets], pa.uint64()).view(pa.int64()) for of in (_set_key, xxhash.xxh3_64_intdigest))
@@ -68,7 +68,7 @@ def _prints(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*same, key, more, pa.array(n.astype(np.int64)), pa.array(fingerprints_of(part).view(np.int64))], names=["id", ROW, "key", "more", "n", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, ROW, text).mapInArrow(run, f"id {kind}, {ROW} binary, key long, more long, n long, fp long")
+    return docs.select(id_col, ROW, text).mapInArrow(K.tidy(run), f"id {kind}, {ROW} binary, key long, more long, n long, fp long")
 
 
 def _set_key(packed: bytes) -> int:
@@ -94,10 +94,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, size: int) -> DataFrame
     def run(batches):
         K.lean()
         for batch in batches:
-            for at, part in K.slices(K.column(batch.column(text)), 1 << 20):
+            for at, part in K.slices(K.column(batch.column(text)), 1 << 18):
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, len(part)), pa.array(_packed(*shingle_sets(part, size)), pa.binary())], names=["key", "shingles"])
 
-    return docs.select(ROW, text).join(wanted, ROW).dropDuplicates([ROW]).select("key", text).mapInArrow(run, "key long, shingles binary")
+    return docs.select(ROW, text).join(wanted, ROW).dropDuplicates([ROW]).select("key", text).mapInArrow(K.tidy(run), "key long, shingles binary")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, percent: int, most: int = 1000) -> DataFrame:
@@ -116,7 +116,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, percent: int, most: int = 1000)
     copies = sets.withColumnRenamed("key", "a").join(parts, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("shingles").alias("sa"))
     salted = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
     second = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
-    return salted.join(second, "b").join(copies, ["a", "salt"]).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return salted.join(second, "b").join(copies, ["a", "salt"]).select("a", "b", "sa", "sb").mapInArrow(K.tidy(run), "a long, b long")
 
 
 def _candidates(nodes: DataFrame, distance: int, turns: int, percent: int, across: bool, least_groups: int = 64) -> DataFrame:
@@ -148,7 +148,7 @@ def _candidates(nodes: DataFrame, distance: int, turns: int, percent: int, acros
     for turn in range(turns):
         lead = (turn + 1) * 64 // turns - turn * 64 // turns
         met_ = visits(nodes, distance, ("key", "n", "root"), turn, turns, least_groups=least_groups)
-        own = met_.groupBy("g").applyInArrow(_only_table(link, lead), "a long, b long")
+        own = met_.groupBy("g").applyInArrow(K.tidy(_only_table(link, lead)), "a long, b long")
         found = own if found is None else found.unionByName(own)
     return found.distinct()
 
@@ -185,7 +185,7 @@ def _grouped_links(members: DataFrame, sets: DataFrame, percent: int, most_texts
         a = np.flatnonzero(least != np.arange(len(n)))
         return pa.table({"a": key[least[a]], "b": key[a]})
 
-    return meet.groupBy("group", "x", "y").applyInArrow(link, "a long, b long")
+    return meet.groupBy("group", "x", "y").applyInArrow(K.tidy(link), "a long, b long")
 
 
 def _only_table(link, lead: int):

@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
                 c = term_counts(part)
                 yield pa.RecordBatch.from_arrays([b.column("__label").slice(at, len(part)), pa.array([x.tobytes() for x in c], pa.binary())], names=["__label", "c"])
 
-    got = picked.mapInArrow(run, "__label int, c binary").toPandas().sort_values(["c", "__label"], kind="stable")
+    got = picked.mapInArrow(K.tidy(run), "__label int, c binary").toPandas().sort_values(["c", "__label"], kind="stable")
     counts = np.frombuffer(b"".join(got["c"]), np.float32).reshape(-1, DIM)
     return fit(counts, got["__label"].to_numpy(), share, **how)
 
@@ -144,7 +144,7 @@ def classify(docs: DataFrame, voters: Voters, text: str = "text", threshold: flo
             s = np.concatenate([np.zeros(0), *s])
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in keep], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*[f.name for f in keep], "score", "predicted"])
 
-    return docs.mapInArrow(run, T.StructType([*keep, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(K.tidy(run), T.StructType([*keep, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -75,7 +75,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", size: int = 3, seed: i
             fp = fingerprints_of(K.column(batch.column(text)), size, seed).view(np.int64)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(fp)], names=[*keep, name])
 
-    return docs.mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], T.StructField(name, T.LongType())]))
+    return docs.mapInArrow(K.tidy(run), T.StructType([*[docs.schema[c] for c in keep], T.StructField(name, T.LongType())]))
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -194,7 +194,7 @@ def visits(fps: DataFrame, distance: int, carried: tuple[str, ...] = (), turn: i
             packed = [pa.array([col[x].tobytes() for x in np.split(word, cut[1:])] if len(cut) else [], pa.binary()) for col in (batch.column(c).to_numpy() for c in names)]
             yield pa.RecordBatch.from_arrays([pa.array((key[cut] >> 1).astype(np.int32)), pa.array((key[cut] & 1) == 1), *packed], names=["g", "guest", *names])
 
-    return dealt.mapInArrow(route, "g int, guest boolean, " + ", ".join(f"{c} binary" for c in names))
+    return dealt.mapInArrow(K.tidy(route), "g int, guest boolean, " + ", ".join(f"{c} binary" for c in names))
 
 
 def met(table: pa.Table, column: str) -> tuple[np.ndarray, int]:
@@ -215,7 +215,7 @@ def near_links(fps: DataFrame, distance: int = 2, group_size: int = 4096, least_
         a, b = _local_links(words[:own], words[own:], distance)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return visits(fps, distance, group_size=group_size, least_groups=least_groups).groupBy("g").applyInArrow(link, "a long, b long")
+    return visits(fps, distance, group_size=group_size, least_groups=least_groups).groupBy("g").applyInArrow(K.tidy(link), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, distance: int = 2, seed: int = 42) -> DataFrame:

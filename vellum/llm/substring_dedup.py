@@ -176,9 +176,9 @@ def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, joine
             out = out.append_column(name, col)
         return out
 
-    keys = dealt.groupBy(BLOCK).applyInArrow(ask, f"{BUCKET} int, {BLOCK} int, n int, keys binary")
-    told = keys.groupBy(BUCKET).applyInArrow(answer, f"{BLOCK} int, {BUCKET} int, n int, bits binary")
-    return dealt.groupBy(BLOCK).cogroup(told.groupBy(BLOCK)).applyInArrow(cut, schema)
+    keys = dealt.groupBy(BLOCK).applyInArrow(K.tidy(ask), f"{BUCKET} int, {BLOCK} int, n int, keys binary")
+    told = keys.groupBy(BUCKET).applyInArrow(K.tidy(answer), f"{BLOCK} int, {BUCKET} int, n int, bits binary")
+    return dealt.groupBy(BLOCK).cogroup(told.groupBy(BLOCK)).applyInArrow(K.tidy(cut), schema)
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+import inspect
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -169,6 +170,33 @@ def lean() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
 
 
+def trim() -> None:
+    """Gives the heap's free memory back to the system."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(of: Callable, least: int = 1 << 20) -> Callable:
+    """`of`, a function of batches, or of one or two tables of a group, that trims when a task's batches or a group of at least
+    `least` bytes are done: Spark keeps idle workers, whose free memory else adds up beside the busy ones."""
+    if inspect.isgeneratorfunction(of):
+
+        def run(batches):
+            yield from of(batches)
+            trim()
+
+        return run
+
+    def called(*tables):
+        out = of(*tables)
+        if sum(x.nbytes for x in tables if isinstance(x, pa.Table)) >= least:
+            trim()
+        return out
+
+    # the number of arguments tells Spark what to pass
+    return (lambda table: called(table)) if len(inspect.signature(of).parameters) == 1 else (lambda one, two: called(one, two))
+
+
 def column(arr) -> pa.Array:
     """One contiguous string array without nulls."""
     lean()
