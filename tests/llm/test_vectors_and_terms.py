@@ -196,3 +196,14 @@ def test_bounds_save_scans_and_never_change_a_result():
         moved = np.sqrt(((new - c) ** 2).sum(axis=1).astype(float)) * (1 + 1e-12)
         c = new
     assert scans[0] == len(v) and scans[-1] < len(v) / 4
+
+
+def test_term_counts_by_compiled_code(spark):
+    """Only A-Z is lower-cased, repeats in a text count one document, and no expression of the counts is interpreted term by term."""
+    from vellum.llm.divergence import term_counts
+
+    rows = [("Ab aB É é ΣΑΣ", "x", "s"), ("AB ab", "x", "s"), (None, "x", "s"), ("İ I", None, None)]
+    found = term_counts(spark.createDataFrame(rows, "text string, lang string, source string"))
+    got = {(r.lang, r.source, r.term): (r.n, r.docs) for r in found.where("term <> ''").collect()}
+    assert got == {("x", "s", "ab"): (4, 2), ("x", "s", "É"): (1, 1), ("x", "s", "é"): (1, 1), ("x", "s", "ΣΑΣ"): (1, 1), ("", "", "İ"): (1, 1), ("", "", "i"): (1, 1)}
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
