@@ -1,5 +1,8 @@
 """Rules at their boundary values, on hand-written rows."""
 
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +48,22 @@ def test_budget_and_hash(spark):
     assert each(spark, T.fnv_hash, ("",), ("a",)) == ["", _fnv("a")]
 
 
+def test_hash_of_many_texts(spark):
+    """Long texts in time; null, empty, supplementary and strided ones side by side."""
+    texts = [None, "", "😀é", "x" * 1999, "ab" * 2000, "ab漢" * 2001, *["y" * 3999 + chr(97 + i % 26) * (i % 7) for i in range(3000)]]
+
+    def strided(t):
+        h = 2166136261
+        for c in [*map(ord, t[:: max(1, len(t) // 2000)]), len(t)]:
+            h = (h ^ c) * 16777619 % 2**32
+        return ("-" if h >= 2**31 else "") + np.base_repr(min(h, 2**32 - h), 36).lower()
+
+    began = time.perf_counter()
+    got = each(spark, T.fnv_hash, *[(t,) for t in texts])
+    assert time.perf_counter() - began < 20
+    assert got == [None if t is None else strided(t) if t else "" for t in texts]
+
+
 def _fnv(s):
     h = 2166136261
     for c in s:
