@@ -152,7 +152,13 @@ def routing_state(ink: DataFrame, bubbles: DataFrame, boxes: DataFrame, semantic
         extra = extra.where("bubble_idx >= 0").unionByName(extra.where("bubble_idx < 0").join(dropped.select(*at).distinct(), at, "left_anti"))
     held = runs.measures(runs.merged(bubbles, ("page_id", "bubble_id")), ("page_id", "bubble_id")).select("page_id", F.col("bubble_id").alias("bubble_idx"), G.of().alias("bubble"))
     out = routes(strict.unionByName(extra)).join(held, ["page_id", "bubble_idx"], "left").join(sizes, "page_id")
-    return out.withColumn("e", _padded(G.of(), F.col("bubble"), F.col("w"), F.col("h"))).select("page_id", "source", "source_id", "part", "bubble_idx", "route", "action", "confidence", "x1", "y1", "x2", "y2", *[F.col(f"e.{c}").alias(f"e{c}") for c in ("x1", "y1", "x2", "y2")])
+    return padded(out, F.col("bubble")).select("page_id", "source", "source_id", "part", "bubble_idx", "route", "action", "confidence", "x1", "y1", "x2", "y2", "ex1", "ey1", "ex2", "ey2")
+
+
+def padded(routed: DataFrame, bubble: Column) -> DataFrame:
+    """Routed boxes with their margin as ex1 .. ey2; `bubble`: the bounds of their bubble, null without one."""
+    out = routed.withColumn("e", _padded(G.of(), bubble, F.col("w"), F.col("h")))
+    return out.select("*", *[F.col(f"e.{c}").alias(f"e{c}") for c in ("x1", "y1", "x2", "y2")]).drop("e")
 
 
 def rescue_box(bubble: list[dict]) -> tuple[int, int, int, int] | None:
