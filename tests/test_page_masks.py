@@ -91,7 +91,16 @@ def test_strokes_of_random_ink(seed):
     assert sum(map(len, got.values())) >= 10
 
 
-@pytest.mark.parametrize("name", ["bubble_claims", "routed_boxes", "allowed_masks", "clipped_blocks", "shrunk_boxes"])
+def test_clusters_and_rescues(spark, odd):
+    claims, (ink, held) = claimed(spark, odd), (fx.ink(spark, odd), fx.contents(spark, odd))
+    routed = claims.select("page_id", "route", F.lit(1.0).alias("score"), "x1", "y1", "x2", "y2")
+    want, got = B.consolidated(ink, held, routed, fx.sizes(spark, odd)), QUERIES["bubble_clusters"](spark, odd)
+    assert want.dtypes == got.dtypes and rows(got, *want.columns) == rows(want, *want.columns) and {r.bubble_idx < 0 for r in got.collect()} == {True, False}
+    want, got = B.rescues(held, claims), QUERIES["rescue_boxes"](spark, odd)
+    assert want.dtypes == got.dtypes and rows(got, *want.columns) == rows(want, *want.columns) and got.count() > 0
+
+
+@pytest.mark.parametrize("name", ["bubble_claims", "bubble_clusters", "routed_boxes", "allowed_masks", "clipped_blocks", "shrunk_boxes"])
 def test_only_markup_is_shuffled(spark, odd, name):
     plan = QUERIES[name](spark, odd)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan

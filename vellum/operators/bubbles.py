@@ -256,9 +256,14 @@ def consolidated(ink: DataFrame, bubbles: DataFrame, routed: DataFrame, sizes: D
     every = made.unionByName(loose).withColumn("cluster", F.struct("bubble_idx", "part"))
     route = routing.modal_route(every, routed)
     held = runs.measures(over, keys).select("page_id", F.col("bubble_id").alias("bubble_idx"), G.of().alias("bubble"))
-    out = every.join(route, ["page_id", "cluster"]).join(held, ["page_id", "bubble_idx"], "left")
+    return settled(every.join(route, ["page_id", "cluster"]).join(held, ["page_id", "bubble_idx"], "left"))
+
+
+def settled(clusters: DataFrame) -> DataFrame:
+    """Clusters (.., green, bubble, route, confidence) with route, action, mask mode and layout box."""
+    corners = ("x1", "y1", "x2", "y2")
     inner = F.col("bubble_idx") >= 0
     state = F.when(~inner & (F.col("route") == "bubble_dialogue"), "floating_dialogue").otherwise(F.col("route"))
-    out = out.withColumn("route", state).withColumn("g", green_box(G.of(), F.col("green"), F.col("bubble")))
+    out = clusters.withColumn("route", state).withColumn("g", green_box(G.of(), F.col("green"), F.col("bubble")))
     action = F.when(inner, "erase").when(F.col("route") == "floating_dialogue", "careful_erase").otherwise("skip_protect")
     return out.select("page_id", "bubble_idx", F.col("part").alias("cluster"), "route", action.alias("action"), F.when(inner, "bubble_interior").otherwise("stroke").alias("mask_mode"), F.when(F.col("confidence") > 0, F.col("confidence")).otherwise(0.5).alias("confidence"), *corners, *[F.col(f"g.{c}").alias(f"g{c}") for c in corners])
