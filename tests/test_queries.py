@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from vellum.operators import detections, grouping, layout, pixels, service, stats
+from vellum.operators import detections, grouping, layout, pixels, routing, service, stats
 from vellum.plans.registry import ORACLE_SQL, QUERIES
 from vellum.sources import fixtures as fx
 
@@ -351,3 +351,23 @@ def test_shorten_text_uses_whole_texts(spark, tmp_path):
     finally:
         translate.shortened = keep
     assert {r.page_id: r.said for r in seen[0].collect()} == {i: lead + re.sub("[^A-Za-z .,]", " ", t) for i, t in texts}
+
+
+@pytest.mark.parametrize("name", ["run_report", "report_warnings"])
+def test_reports_move_documents_once(spark, name):
+    """Texts are in one exchange, the two places that read it share it; what else moves are numbers and flags."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join" in line]
+    assert joins and not any("text" in line or "en_text" in line for line in joins)
+    moved = re.findall(r"RepartitionByExpression \[doc_id", plan)
+    assert len(moved) == 2 and not re.search(r"(?m)^.*Project \[page_id.*\btext#.*\n.*Join", plan)
+
+
+def test_items_meet_their_boxes_and_best_bubbles(spark):
+    """Pages without bubbles or boxes, shares at the floor, equal shares, more items than boxes."""
+    boxes = spark.createDataFrame([(1, 0, 0, 0, 10, 10), (1, 1, 20, 0, 30, 10), (2, 0, 0, 0, 10, 10), (3, 0, 0, 0, 100, 1)], "page_id long, region_id int, x1 int, y1 int, x2 int, y2 int")
+    held = spark.createDataFrame([(1, 2, 0, 0, 5, 10), (1, 1, 5, 0, 10, 10), (1, 0, 0, 0, 1, 10), (3, 4, 82, 0, 200, 9), (3, 5, 83, 0, 200, 9), (9, 0, 0, 0, 9, 9)], "page_id long, bubble_id int, x1 int, y1 int, x2 int, y2 int")
+    best = routing.best_bubble(boxes, held)
+    assert {(r.page_id, r.region_id): r.bubble_idx for r in best.collect()} == {(1, 0): 1, (1, 1): -1, (2, 0): -1, (3, 0): 4}
+    items = spark.createDataFrame([(1, k, f"t{k}") for k in range(5)] + [(4, 0, "x")], "page_id long, region_id int, text string")
+    assert sorted((r.region_id, r.text, r.x1, r.bubble_idx) for r in fx.placed(best, items).collect()) == [(k, f"t{k}", 20 * (k % 2), 1 - 2 * (k % 2)) for k in range(5)]

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 def run_report(decisions: DataFrame, translations: DataFrame) -> DataFrame:
     """Counts for each page with items and translations, in one join on the item and one roll-up by page; only accepted items
-    count as translations, those without a placeholder as rendered."""
+    count as translations, those without a placeholder as rendered. Translations have en_text or the flag stand_in."""
     d = decisions.select("page_id", "region_id", F.col("reason").isNull().alias("accepted"))
-    t = translations.select("page_id", "region_id", F.trim("en_text").startswith("[TL:").alias("stand_in"))
+    t = translations.select("page_id", "region_id", F.col("stand_in") if "stand_in" in translations.columns else F.trim("en_text").startswith("[TL:").alias("stand_in"))
     both = d.join(t, ["page_id", "region_id"], "full")
     inside = F.coalesce("accepted", F.lit(False)) & F.col("stand_in").isNotNull()
     out = both.groupBy("page_id").agg(

@@ -24,8 +24,11 @@ def _inside(boxes: DataFrame, bubbles: DataFrame) -> DataFrame:
 
 def best_bubble(boxes: DataFrame, bubbles: DataFrame, floor: float = 0.18) -> DataFrame:
     """bubble_idx: the bubble that covers most of a box, at least `floor` of it (ties to the smaller id), else -1."""
-    best = _inside(boxes, bubbles).where(F.col("share") >= floor).groupBy("page_id", "region_id").agg(F.max_by("bubble_id", F.struct("share", -F.col("bubble_id"))).alias("best"))
-    return boxes.join(best, ["page_id", "region_id"], "left").withColumn("bubble_idx", F.coalesce("best", F.lit(-1))).drop("best")
+    pages = bubbles.groupBy("page_id").agg(F.collect_list(F.struct("bubble_id", G.of().alias("b"))).alias("__bubbles"))
+    share = lambda b: G.intersection(G.of(), b) / F.greatest(F.lit(1), G.area(G.of()))
+    shares = F.transform("__bubbles", lambda x: F.struct(share(x["b"]).alias("share"), (-x["bubble_id"]).alias("minus")))
+    best = F.array_max(F.filter(shares, lambda x: x["share"] >= floor))
+    return boxes.join(pages, "page_id", "left").withColumn("bubble_idx", F.coalesce(-best["minus"], F.lit(-1))).drop("__bubbles")
 
 
 def first_bubble(boxes: DataFrame, bubbles: DataFrame, above: float = 0.4) -> DataFrame:
